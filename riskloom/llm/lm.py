@@ -171,7 +171,7 @@ def fit(docs: DataFrame, top: np.ndarray, unigram: np.ndarray) -> np.ndarray:
         seen = net.train(stream(), unigram)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(net.flat))), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(len(net.flat), seen, np.int64))], names=["i", "x", "n"])
 
-    got = docs.select("text", "learn").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).where("x is not null and not isnan(x)").toPandas()  # one row for each parameter
+    got = docs.select("text", "learn").mapInArrow(run, "i long, x double, n long").groupBy("i").agg(F.try_divide(F.sum("x"), F.sum("n")).alias("x")).where("x is not null and not isnan(x)").toPandas()  # one row for each parameter
     flat = start.copy()
     flat[got["i"]] = got["x"]
     return flat

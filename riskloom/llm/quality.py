@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learns=None,
     learns = F.lit(True) if learns is None else learns
     rows = examples(labelled(docs, labels, label, learns, most), bits).toPandas()
     model = Ftrl(1 << bits)
-    data = [(np.append(i, 1 << bits), np.append(x, 1.0), int(y)) for y, i, x in zip(rows["label"], rows["idx"], rows["x"])]
+    data = [(np.append(i, 1 << bits).astype(np.int64), np.append(x, 1.0), int(y)) for y, i, x in zip(rows["label"], rows["idx"], rows["x"])]
     data.sort(key=lambda d: (len(d[0]), d[0][:3].tolist(), d[2]))  # the order of arrival doesn't count
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns=None, b
     learns = F.lit(True) if learns is None else learns
     both = [labelled(docs, labels.where(F.col(label) == y), label, learns, most) for y in (0, 1)]
     rows = examples(both[0].unionByName(both[1]), bits).toPandas()
-    data = sorted(((np.append(i, 1 << bits), int(y)) for y, i in zip(rows["label"], rows["idx"])), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
+    data = sorted(((np.append(i, 1 << bits).astype(np.int64), int(y)) for y, i in zip(rows["label"], rows["idx"])), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
     machine, order = Machine(1 << bits), np.random.default_rng(5)
     for epoch in range(EPOCHS):
         for k in order.permutation(len(data)):
