@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import fold, text_or_empty
 from riskloom.llm.kernels import SPACE, chunks, mix, span_hashes, words
 
-BITS, FIT_ROWS, EPOCHS, CUT = 18, 6000, 3, 0.3
+BITS, FIT_ROWS, EPOCHS, CUT = 18, 5000, 3, 0.3
 U = np.uint64
 
 
@@ -47,9 +47,9 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
                 edge = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.int64) << bits)
                 scale = 1 / np.sqrt(np.maximum(n, 1))
                 cols = [(key[a:b] & ((1 << bits) - 1), count[a:b] * scale[r]) for r, (a, b) in enumerate(zip(edge, edge[1:]))]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([c[0] for c in cols], pa.list_(pa.int64())), pa.array([c[1] for c in cols], pa.list_(pa.float64()))], names=["label", "idx", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([c[0] for c in cols], pa.list_(pa.int32())), pa.array([c[1] for c in cols], pa.list_(pa.float32()))], names=["label", "idx", "x"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, idx array<long>, x array<double>")
+    return rows.select("label", "text").mapInArrow(run, "label int, idx array<int>, x array<float>")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learns, most: int) -> DataFrame:
@@ -79,14 +79,14 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learns=None, bits: int = BITS, most: int = FIT_ROWS) -> np.ndarray:
     """Weights of the hashed table and the bias; zeros (score 0.5) where no row is labelled."""
     learns = F.lit(True) if learns is None else learns
-    rows = examples(labelled(docs, labels, label, learns, most), bits).toPandas()
     model = Ftrl(1 << bits)
-    data = [(np.append(i, 1 << bits).astype(np.int64), np.append(x, 1.0), int(y)) for y, i, x in zip(rows["label"], rows["idx"], rows["x"])]
+    data = [(np.array([*r["idx"], 1 << bits], np.int32), np.array([*r["x"], 1.0], np.float32), r["label"]) for r in examples(labelled(docs, labels, label, learns, most), bits).toLocalIterator()]  # a task's share at a time
     data.sort(key=lambda d: (len(d[0]), d[0][:3].tolist(), d[2]))  # the order of arrival doesn't count
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in order.permutation(len(data)):
-            model.learn(*data[k])
+            i, x, y = data[k]
+            model.learn(i, x.astype(np.float64), y)
     return model.weights().astype(np.float32)
 
 

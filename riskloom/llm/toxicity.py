@@ -40,9 +40,9 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
             for lo, hi, data, at in chunks(batch.column("text")):
                 idx, row = distinct(*terms(data, at, bits), bits)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([idx[a:b] for a, b in zip(edge, edge[1:])], pa.list_(pa.int64()))], names=["label", "idx"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([idx[a:b].astype(np.int32) for a, b in zip(edge, edge[1:])], pa.list_(pa.int32()))], names=["label", "idx"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, idx array<long>")
+    return rows.select("label", "text").mapInArrow(run, "label int, idx array<int>")
 
 
 class Machine:
@@ -81,8 +81,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns=None, b
     """Weights (bias last) and factors; a balanced share of both classes is learnt from."""
     learns = F.lit(True) if learns is None else learns
     both = [labelled(docs, labels.where(F.col(label) == y), label, learns, most) for y in (0, 1)]
-    rows = examples(both[0].unionByName(both[1]), bits).toPandas()
-    data = sorted(((np.append(i, 1 << bits).astype(np.int64), int(y)) for y, i in zip(rows["label"], rows["idx"])), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
+    rows = examples(both[0].unionByName(both[1]), bits).toLocalIterator()  # a task's share at a time
+    data = sorted(((np.array([*r["idx"], 1 << bits], np.int32), r["label"]) for r in rows), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
     machine, order = Machine(1 << bits), np.random.default_rng(5)
     for epoch in range(EPOCHS):
         for k in order.permutation(len(data)):
