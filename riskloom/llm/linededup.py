@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import saved
+from riskloom.llm.membership import possibly_in
 
 DIVISOR, LEAST_LINES = 4, 2
 
@@ -57,7 +58,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINE
     marked = keys.join(repeated, "hash").groupBy(k, t).agg(F.collect_set(F.struct("pos", "hash", (place == F.col("first")).alias("is_first"))).alias(rep))
     marked = saved(marked, "line-repeats").withColumnsRenamed({k: "mk", t: "mt"})
     same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
-    held = base.join(marked, same((k, t), ("mk", "mt"))).dropDuplicates([k, t])
+    held = possibly_in(base, [k, t], marked, ["mk", "mt"]).join(marked, same((k, t), ("mk", "mt")))  # rows alike do no harm below
     held = held.select(k, t, F.col(rep), F.transform(chunk_array(F.col("text"), divisor), lambda c: c["chunk"]).alias("all"))
     texts = held.select(k, t, F.explode(F.transform(rep, lambda r: F.struct(r["pos"].alias("pos"), r["hash"].alias("hash"), r["is_first"].alias("is_first"), F.get(F.col("all"), r["pos"]).alias("chunk")))).alias("r")).select(k, t, "r.*")
     texts = saved(texts, "line-texts")
