@@ -244,3 +244,44 @@ def test_line_dedup_keeps_the_first_and_shifts(spark):
     got = {r["doc_id"]: r for r in linededup.dedup(frame(spark, rows)).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
     assert got[2]["n_removed"] >= 25 and "new head" in got[2]["text"] and "tail" in got[2]["text"]
+
+
+def _near_pairs(size, jaccard, pairs, rng):
+    """Texts (2 i, 2 i + 1) whose five-word shingle sets have this similarity: they share a run of words."""
+    out = []
+    for _ in range(pairs):
+        own = round(size * (1 - jaccard) / 2)  # distinct shingles at each end
+        both = [f"w{rng.getrandbits(60)}" for _ in range(size - 2 * own + 4)]
+        out += [" ".join(both + [f"x{rng.getrandbits(60)}" for _ in range(own)]), " ".join([f"y{rng.getrandbits(60)}" for _ in range(own)] + both)]
+    return out
+
+
+@pytest.mark.parametrize("size, jaccard", [(10, 0.8), (160, 0.8), (400, 0.85)])
+def test_near_dedup_recall_at_its_threshold(spark, size, jaccard):
+    rows = list(enumerate(_near_pairs(size, jaccard, 150, random.Random(size))))
+    kept = {r["doc_id"] for r in neardedup.dedup(frame(spark, rows)).collect()}
+    assert all(i in kept for i, _ in rows[::2])
+    assert sum(i not in kept for i, _ in rows[1::2]) >= 0.95 * 150
+
+
+def test_near_dedup_equals_brute_force_on_chains(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6):  # edits of edits: members that a leader rejects are similar to each other
+        texts = [[f"v{rng.getrandbits(40)}" for _ in range(150)]]
+        for _ in range(25):
+            t = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randint(1, 3)):
+                t[rng.randrange(150)] = f"v{rng.getrandbits(40)}"
+            texts.append(t)
+        rows += [" ".join(t) for t in texts]
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    kept = {r["doc_id"] for r in neardedup.dedup(frame(spark, enumerate(rows))).collect()}
+    assert kept == set(root)
