@@ -285,3 +285,10 @@ def test_near_dedup_equals_brute_force_on_chains(spark):
                 root = [new if r == old else r for r in root]
     kept = {r["doc_id"] for r in neardedup.dedup(frame(spark, enumerate(rows))).collect()}
     assert kept == set(root)
+
+
+def test_near_dedup_keeps_different_texts_with_a_dominating_repeat(spark):
+    rng = random.Random(12)
+    line = "one two three four five six seven eight nine"
+    rows = [(i, " ".join([line] * 200 + [f"u{rng.getrandbits(50)}" for _ in range(1000)])) for i in range(8)]
+    assert neardedup.dedup(frame(spark, rows)).count() == 8
