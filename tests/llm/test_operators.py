@@ -292,3 +292,24 @@ def test_near_dedup_keeps_different_texts_with_a_dominating_repeat(spark):
     line = "one two three four five six seven eight nine"
     rows = [(i, " ".join([line] * 200 + [f"u{rng.getrandbits(50)}" for _ in range(1000)])) for i in range(8)]
     assert neardedup.dedup(frame(spark, rows)).count() == 8
+
+
+def test_leaks_of_long_items(spark):
+    rng = random.Random(13)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(6000)]
+    items = [(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([70, 130, 200, 500, 1500])]
+    rows, want = [], set()
+    for d in range(30):
+        w = rng.choices(vocab, k=300)
+        if d < 10:
+            q = items[d % 5][1].split()
+            if d >= 5:
+                q = [x if rng.random() > 0.15 else rng.choice(vocab) for x in q]
+            w[37 + d : 37 + d] = q
+            want.add((d, d % 5))
+        elif d < 15:
+            w[50:50] = items[d % 5][1].split()[: len(items[d % 5][1].split()) // 2]  # half an item isn't a leak
+        rows.append((d, " ".join(w)))
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == want
+    assert all(r["common_words"] == r["item_words"] for (d, _), r in got.items() if d < 5)
