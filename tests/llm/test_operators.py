@@ -313,3 +313,16 @@ def test_leaks_of_long_items(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == want
     assert all(r["common_words"] == r["item_words"] for (d, _), r in got.items() if d < 5)
+
+
+def test_leaks_with_answers_outside_the_item(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    answers = [" ".join(f"{rng.choice('klmn')}{rng.getrandbits(40):x}" for _ in range(k)) for k in (1, 4, 60)]
+    items = [(i, " ".join(rng.choices(vocab, k=25)), a) for i, a in enumerate(answers)]
+    rows = []
+    for i, q, a in items:  # question with its answer, with another answer, alone
+        for k, tail in enumerate([a, answers[(i + 1) % 3], ""]):
+            rows.append((10 * i + k, " ".join([*rng.choices(vocab, k=80), q, tail, *rng.choices(vocab, k=80)])))
+    got = {(r["doc_id"], r["item_id"], r["answer_share"]) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()}
+    assert got == {(10 * i, i, 1.0) for i in range(3)}
