@@ -2,8 +2,9 @@
 
 The vocabulary is a public `tokenizers` JSON file, named by path. Texts whose characters all lie
 in the Latin blocks are cut into pre-tokens by array operations, and each pre-token's ids come
-from a table that keeps what has been merged before. Every other text, and every text that
-holds a special token's string, goes through `tokenizers` itself. Both give the same ids.
+from a table that keeps what has been merged before, with its characters, which are compared: a
+pre-token of an equal hash but other characters is merged by itself. Every other text, and every text
+that holds a special token's string, goes through `tokenizers` itself. Both give the same ids.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from riskloom.llm.kernels import span_hashes
 LATIN = 0x250
 #: Pre-token contractions of the vocabulary's public pattern (fixed values): 's 't 'm 'd and 're 've 'll.
 ONE, TWO = "stmd", ("re", "ve", "ll")
-_SLOTS = 1 << 21
-_POOL = 8 << 20
+#: Places of the table, and ids and characters it keeps at most before it starts anew (some 60 MB in all).
+_SLOTS, _POOL = 1 << 20, 4 << 20
 _loaded: dict[str, "Bpe"] = {}
 
 
@@ -48,8 +49,9 @@ class Bpe:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.off, self.len = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self.keys, self.off, self.len = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.said, self.chars, self.told = np.zeros(_SLOTS, np.int32), np.zeros(1 << 16, np.uint16), 0  # characters of each place
 
     def _add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Merge words, a NUL between two, in one call; a word with a NUL is a run of them by itself."""
@@ -69,6 +71,18 @@ class Bpe:
         self.used = need
         return off, n
 
+    def _keep(self, cp: np.ndarray, s: np.ndarray, size: np.ndarray, h: np.ndarray, slot: np.ndarray, off: np.ndarray, n: np.ndarray) -> None:
+        """Give new words their places with all they need; of words for one place the last gets it."""
+        at = self.told + np.cumsum(size) - size
+        need = self.told + int(size.sum())
+        if need > len(self.chars):
+            self.chars = np.concatenate([self.chars[: self.told], np.zeros(max(need - self.told, len(self.chars)), np.uint16)])
+        self.chars[self.told : need] = cp[np.repeat(s - (at - self.told), size) + np.arange(need - self.told)]
+        self.told = need
+        last = len(slot) - 1 - np.unique(slot[::-1], return_index=True)[1]
+        to = slot[last]
+        self.keys[to], self.off[to], self.len[to], self.said[to] = h[last], off[last], n[last], at[last]
+
     def _starts(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where pre-tokens start; cp: code points, at: the texts' offsets in them."""
         n, k = len(cp), self.kind[cp]
@@ -134,22 +148,25 @@ class Bpe:
         at = lead[at]
         s = self._starts(cp, at)
         e = np.append(s[1:], len(cp))
-        if self.used > _POOL:
+        if max(self.used, self.told) > _POOL:
             self._clear()
-        h = span_hashes(cp, s, e)
-        slot = (h >> np.uint64(43)).astype(np.int64)
-        off, n = self.off[slot], self.len[slot]
-        miss = np.flatnonzero(self.keys[slot] != h)
+        h, size = span_hashes(cp, s, e), e - s
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        off, n = self.off[slot].astype(np.int64), self.len[slot].astype(np.int64)
+        known = self.keys[slot] == h
+        # pre-tokens tile the text: compare every character with that of the place, known or not
+        at_char = np.repeat(self.said[slot] - s, size) + np.arange(len(cp))
+        differs = self.chars[np.minimum(at_char, max(0, self.told - 1))] != cp
+        known &= ~np.logical_or.reduceat(differs, s)
+        miss = np.flatnonzero(~known)
         if len(miss):
-            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            texts: dict[str, int] = {}
+            back = np.array([texts.setdefault(text[a:b], len(texts)) for a, b in zip(s[miss].tolist(), e[miss].tolist())])
+            first = np.unique(back, return_index=True)[1]
             pick = miss[first]
-            o, m = self._add([text[a:b] for a, b in zip(s[pick].tolist(), e[pick].tolist())])
-            to = slot[pick]
-            self.keys[to], self.off[to], self.len[to] = new, o, m
-            # two new words may share a slot: make the three columns agree on the last of them
-            same = self.keys[to] == new
-            self.off[to[same]], self.len[to[same]] = o[same], m[same]
+            o, m = self._add(list(texts))
             off[miss], n[miss] = o[back], m[back]
+            self._keep(cp, s[pick], size[pick], h[pick], slot[pick], o, m)
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(off - (ends - n), n) + np.arange(int(ends[-1]))]
         upto = np.concatenate([[0], ends])[np.searchsorted(s, at)]

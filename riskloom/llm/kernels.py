@@ -12,8 +12,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Longest stretch of bytes hashed at once; powers are kept for it.
-BLOCK = 1 << 20
+#: Longest stretch of symbols hashed at once (powers are kept for it), and the most that one polynomial covers.
+BLOCK, PIECE = 1 << 18, 256
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -76,23 +76,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+_FOLD = U64(0xD6E8FEB86659FD93)
+
+
 def span_hashes(symbols: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span [s, e) of an integer array, from prefix sums of a polynomial.
+    """64-bit hash of each span [s, e) of an integer array, from prefix sums of a polynomial; both rise.
 
-    Works in blocks of BLOCK symbols, so memory doesn't follow the text; a span longer than a
-    block is folded block by block."""
+    A polynomial modulo 2**64 can't tell some long words of regular structure apart (Thue-Morse words
+    of 1,024 symbols), so one covers PIECE symbols at most, and the pieces' mixed values are folded,
+    which isn't linear. Works in blocks of BLOCK symbols, so memory doesn't follow the text."""
     out = np.zeros(len(s), U64)
     up, down = _powers()
     i = 0
     while i < len(s):
         lo = int(s[i])
         if e[i] - lo > BLOCK:
-            h, p = U64(0), lo
-            while p < e[i]:
-                q = min(int(e[i]), p + BLOCK)
-                h = h * U64(0xD6E8FEB86659FD93) + mix(np.array([((symbols[p:q].astype(U64) + U64(1)) * up[: q - p]).sum(dtype=U64)]))[0]
-                p = q
-            out[i] = h
+            out[i] = _long_hash(symbols[lo : e[i]])
             i += 1
             continue
         j = int(np.searchsorted(e, lo + BLOCK, "right"))
@@ -100,9 +99,27 @@ def span_hashes(symbols: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray
         hi = int(e[j - 1])
         total = np.zeros(hi - lo + 1, U64)
         np.cumsum((symbols[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=total[1:])
-        out[i:j] = (total[e[i:j] - lo] - total[s[i:j] - lo]) * down[s[i:j] - lo]
+        a, b = s[i:j] - lo, e[i:j] - lo
+        out[i:j] = mix((total[np.minimum(b, a + PIECE)] - total[a]) * down[a])
+        more, step = np.flatnonzero(b - a > PIECE), PIECE
+        while len(more):
+            x = a[more] + step
+            piece = (total[np.minimum(b[more], x + PIECE)] - total[x]) * down[x]
+            out[i + more] = mix(out[i + more] * _FOLD ^ mix(piece + U64(step)))
+            step += PIECE
+            more = more[b[more] - a[more] > step]
         i = j
-    return mix(out)
+    return out
+
+
+def _long_hash(symbols: np.ndarray) -> np.uint64:
+    """The same fold for one span beyond BLOCK."""
+    up, h = _powers()[0], np.zeros(1, U64)
+    for lo in range(0, len(symbols), PIECE):
+        part = symbols[lo : lo + PIECE].astype(U64) + U64(1)
+        piece = (part * up[: len(part)]).sum(dtype=U64)
+        h = mix(h * _FOLD ^ mix(np.array([piece + U64(lo)]))) if lo else mix(np.array([piece]))
+    return h[0]
 
 
 def crc32_mod(ids, modulus: int) -> np.ndarray:
