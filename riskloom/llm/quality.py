@@ -1,22 +1,23 @@
 """Operator 2: quality classifier - hashed word n-gram logistic regression, FTRL-proximal updates.
 
-Features of a text: its words and word pairs as written, and the shape of each word (last two
-bytes and kind of first byte) and shape pairs, all hashed into one table. A count c in a text of n
-words weighs c / sqrt(n). Learning reads at most FIT_ROWS labelled rows (the smallest id hashes of
-the rows that the caller lets learn); scoring is a sparse dot product over Arrow batches.
+Features of a text: its words and word pairs as written, the shape of each word (last two bytes and
+kind of first byte) and shape pairs, each word's last byte, and whether a word pair is one word twice,
+all hashed into one table. A count c in a text of n words weighs c / sqrt(n). Learning reads at most
+FIT_ROWS labelled documents and FIT_BYTES of their text (the smallest id hashes of those that the
+caller lets learn); scoring is a sparse dot product over Arrow batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import fold, text_or_empty
+from riskloom.llm.base import fold, lean, text_or_empty
 from riskloom.llm.kernels import SPACE, chunks, mix, span_hashes, words
 
-BITS, FIT_ROWS, EPOCHS, CUT = 18, 5000, 3, 0.3
+BITS, FIT_ROWS, FIT_BYTES, EPOCHS, CUT = 18, 5000, 64 << 20, 5, 0.3
 U = np.uint64
 
 
@@ -32,8 +33,10 @@ def features(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.nda
     shape = mix(tail * U(8) + kind.astype(U) + U(1 << 40))
     pair = np.flatnonzero(row[1:] == row[:-1])
     both = [mix(x[pair] * U(31) + x[pair + 1] + U(7 + i)) for i, x in enumerate((w, shape))]
-    idx = np.concatenate([w, shape, *both]) >> U(64 - bits)
-    return idx.astype(np.int64), np.concatenate([row, row, row[pair], row[pair]]), n
+    end = mix(data[e - 1].astype(U) + U(1 << 41))
+    twice = mix((w[pair] == w[pair + 1]).astype(U) + U(1 << 42))
+    idx = np.concatenate([w, shape, *both, end, twice]) >> U(64 - bits)
+    return idx.astype(np.int64), np.concatenate([row, row, row[pair], row[pair], row, row[pair]]), n
 
 
 def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
@@ -49,20 +52,28 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
                 cols = [(key[a:b] & ((1 << bits) - 1), count[a:b] * scale[r]) for r, (a, b) in enumerate(zip(edge, edge[1:]))]
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([c[0] for c in cols], pa.list_(pa.int32())), pa.array([c[1] for c in cols], pa.list_(pa.float32()))], names=["label", "idx", "x"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, idx array<int>, x array<float>")
+    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx array<int>, x array<float>")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learns, most: int) -> DataFrame:
-    """At most `most` labelled rows that may be learnt from: those whose ids hash lowest."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learns, most: int, largest: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, label, text) of at most `most` labelled documents that may be learnt from, and at most
+    `largest` bytes of text: those whose ids hash lowest, one text for each id (of several the smallest
+    hash), a label for each id (1 if any says so)."""
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return bounded(docs, marks, most, largest)
+
+
+def bounded(docs: DataFrame, marks: DataFrame, most: int, largest: int) -> DataFrame:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return text_or_empty(docs).join(F.broadcast(marks), "doc_id")
+    rows = text_or_empty(docs).join(F.broadcast(marks), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    room = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` rows
+    return rows.withColumn("room", F.sum(F.octet_length("text")).over(room)).where((F.col("room") <= largest) | (F.col("room") == F.octet_length("text"))).drop("room").repartition(16, "doc_id")
 
 
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for logistic loss; index `size` is the bias."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5):
         self.z, self.n, self.a, self.b, self.l1, self.l2 = np.zeros(size + 1), np.zeros(size + 1), alpha, beta, l1, l2
 
     def weights(self, i=slice(None)) -> np.ndarray:
@@ -100,7 +111,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 dot = np.bincount(row, weights[idx], minlength=hi - lo) / np.sqrt(np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(dot + float(weights[-1]), -30, 30))))], names=["doc_id", "score"])
 
-    return text_or_empty(docs).mapInArrow(run, "doc_id long, score double")
+    return text_or_empty(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def passing(docs: DataFrame, weights: np.ndarray, cut: float = CUT, bits: int = BITS) -> DataFrame:
@@ -115,7 +126,7 @@ def passing(docs: DataFrame, weights: np.ndarray, cut: float = CUT, bits: int =
                 keep.append(1 / (1 + np.exp(-np.clip(dot + float(weights[-1]), -30, 30))) >= cut)
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
