@@ -3,7 +3,9 @@
 score = sigmoid(b + sum w_t + sum over pairs <v_t, v_u>) over the distinct terms of a text; the pair
 sum is taken as half of (sum v)^2 - sum v^2. Linear weights learn by FTRL (most stay exactly zero),
 factors by AdaGrad with decay. Terms are runs of letters and digits, A-Z lowered, so punctuation
-doesn't hide them. At most FIT_ROWS labelled rows of each class are learnt from.
+doesn't hide them, and each one's first 4 to 8 bytes where more follow, so that forms of one stem share
+what is learnt. At most FIT_ROWS labelled documents of each class, and FIT_BYTES of their text, are
+learnt from.
 """
 
 from __future__ import annotations
@@ -13,20 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import fold, text_or_empty
-from riskloom.llm.kernels import LOWER, chunks, span_hashes, words
-from riskloom.llm.quality import Ftrl, labelled
+from riskloom.llm.base import fold, lean, text_or_empty
+from riskloom.llm.kernels import LOWER, chunks, mix, span_hashes, words
+from riskloom.llm.quality import FIT_BYTES, Ftrl, bounded
 
-BITS, FACTORS, FIT_ROWS, EPOCHS, CUT = 20, 4, 6000, 6, 0.5
+BITS, FACTORS, FIT_ROWS, EPOCHS, CUT = 20, 4, 6000, 10, 0.5
+#: Lengths of the stems in bytes.
+STEMS = range(4, 9)
 TERM = np.zeros(256, bool)
 TERM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def terms(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms in text order with their rows."""
+    """Hashed terms and stems with their rows."""
     data = LOWER[data]
     s, e, row = words(data, at, TERM)
-    return (span_hashes(data, s, e) >> np.uint64(64 - bits)).astype(np.int64), row
+    h, rows = [span_hashes(data, s, e)], [row]
+    for n in STEMS:
+        longer = np.flatnonzero(e - s > n)
+        h.append(mix(span_hashes(data, s[longer], s[longer] + n) + np.uint64(n)))
+        rows.append(row[longer])
+    return (np.concatenate(h) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
 def distinct(idx: np.ndarray, row: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +51,12 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([idx[a:b].astype(np.int32) for a, b in zip(edge, edge[1:])], pa.list_(pa.int32()))], names=["label", "idx"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, idx array<int>")
+    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx array<int>")
 
 
 class Machine:
     def __init__(self, size: int, factors: int = FACTORS, rate: float = 0.03, decay: float = 0.02):
-        self.linear = Ftrl(size, alpha=1.0, l1=1.5, l2=0.0)
+        self.linear = Ftrl(size, alpha=1.0, l1=3.0, l2=0.0)
         self.v = np.random.default_rng(3).normal(0, 0.01, (size + 1, factors)).astype(np.float32)
         self.v[size] = 0
         self.seen, self.rate, self.decay = np.full((size + 1, factors), 1e-2, np.float32), rate, decay
@@ -80,7 +89,8 @@ class Machine:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns=None, bits: int = BITS, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights (bias last) and factors; a balanced share of both classes is learnt from."""
     learns = F.lit(True) if learns is None else learns
-    both = [labelled(docs, labels.where(F.col(label) == y), label, learns, most) for y in (0, 1)]
+    one = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns).groupBy("doc_id").agg(F.max("label").alias("label"))
+    both = [bounded(docs, one.where(F.col("label") == y), most, FIT_BYTES) for y in (0, 1)]
     rows = examples(both[0].unionByName(both[1]), bits).toLocalIterator()  # a task's share at a time
     data = sorted(((np.array([*r["idx"], 1 << bits], np.int32), r["label"]) for r in rows), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
     machine, order = Machine(1 << bits), np.random.default_rng(5)
@@ -110,7 +120,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BI
                     out += 0.5 * (np.bincount(row, x, minlength=m) ** 2 - np.bincount(row, x * x, minlength=m))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, m), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=["doc_id", "score"])
 
-    return text_or_empty(docs).mapInArrow(run, "doc_id long, score double")
+    return text_or_empty(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
