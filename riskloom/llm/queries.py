@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators, and their SQL."""
 
+import uuid
+
 import public_tokenizers
 
 from riskloom.llm import decontaminate, digest, linededup, lm, packing, quality, repeats, secrets, simhash, toxicity
-from riskloom.llm.base import table
+from riskloom.llm.base import scratch_root, table
 
 
 def _on(*names):
@@ -19,7 +21,7 @@ QUERIES = {
     "op3_line_dedup": _on("documents")(lambda d: linededup.dedup(d.select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")),
     "op4_simhash": _on("documents")(simhash.near_duplicates),
     "op5_decontamination": _on("documents", "benchmark")(decontaminate.leaks),
-    "op6_secrets": _on("documents")(lambda d: secrets.scan(d)[0]),
+    "op6_secrets": _on("documents")(lambda d: secrets.scan_with(f"{scratch_root(d.sparkSession)}/secret-ledger-{uuid.uuid4().hex}", d)),  # a ledger of its own, begun empty
     "op7_digest": _on("documents")(digest.fingerprints),
     "op8_toxicity": _on("documents", "labels")(toxicity.classify),
     "op9_repeats": _on("documents")(lambda d: repeats.remove(d).drop("kept")),

@@ -3,6 +3,7 @@
 Every distinct text (historical version) is a blob addressed by its SHA-256. The ledger has a row
 for each blob and rule version scanned so far with what was found; only pairs not in it are
 scanned, once each, and findings are joined back to every path (document) that holds the blob.
+`scan_with` keeps the ledger as a stored table that every run reads and appends to.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import saved, text_or_empty
+from riskloom.llm.base import lean, saved, text_or_empty
 from riskloom.llm.kernels import buffers
 
 RULE_VERSION = "base-1+pem-1"
@@ -67,25 +68,53 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("blob"), *(pa.array(cols[i], pa.int64()) for i in range(3)), *(pa.array(cols[i], pa.string()) for i in (3, 4))], names=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
+def unseen(blobs: DataFrame, ledger: DataFrame, rules: str) -> DataFrame:
+    """Blobs that the ledger doesn't have under this rule version."""
+    return blobs.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings by document, ledger rows to append).
+    """(findings by document, ledger rows to append); ledger: a table of the LEDGER columns, or none yet.
+
+    Only blob and rule-version pairs that the ledger lacks are scanned. A text without any trace of a
+    rule costs no move: it is judged by the screen where it lies, and its blob gets an empty ledger
+    row. Null and empty texts have no finding; a null doc_id stays; repeated rows get equal findings;
+    rows repeated in the ledger count once; an empty table gives no rows."""
+    paths, found, new = _fresh(text_or_empty(docs), ledger, rules)
+    return _back(paths, found if ledger is None else found.unionByName(_findings(ledger, rules))), new
 
-    A text without any trace of a rule costs no move: it is judged by the screen where it lies, and
-    its blob gets an empty ledger row. Null and empty texts have no finding; a null doc_id stays;
-    repeated rows get equal findings; an empty table gives no rows."""
-    docs = text_or_empty(docs)
+
+def _fresh(docs: DataFrame, ledger: DataFrame | None, rules: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every path with its blob, findings of blobs the ledger lacks, their ledger rows)."""
     keyed = docs.select("doc_id", "text", F.unhex(F.sha2(F.col("text"), 256)).alias("blob"), screened(F.col("text")).alias("hot"))
     paths = saved(keyed.select("doc_id", "blob", "hot"), "paths")
     blobs = paths.groupBy("blob").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("at"), F.max("hot").alias("hot"))
     blobs = blobs.select("blob", F.col("at.doc_id").alias("holder"), "hot")
-    old = None
     if ledger is not None:
-        old = ledger.where(F.col("rules") == rules)
-        blobs = blobs.join(old.select("blob"), "blob", "left_anti")
+        blobs = unseen(blobs, ledger, rules)
     hot = keyed.where("hot").select("doc_id", "text", "blob").join(blobs.where("hot").select(F.col("blob").alias("b"), "holder"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("holder")))
-    found = hot.select("blob", "text").mapInArrow(_scan, "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    found = hot.select("blob", "text").mapInArrow(lean(_scan), "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     found = saved(found.dropDuplicates(["blob"]), "findings")
     new = blobs.join(found, "blob", "left").select("blob", F.lit(rules).alias("rules"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")), F.coalesce("base_sha256", F.lit(_NONE)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
-    known = found if old is None else found.unionByName(old.select(*found.columns).where("spans <> ''"))
-    back = paths.join(known, "blob", "left")
-    return back.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")), F.coalesce("base_sha256", F.lit(_NONE)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")), new
+    return paths, found, new
+
+
+def _findings(ledger: DataFrame, rules: str) -> DataFrame:
+    return ledger.where((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules").dropDuplicates(["blob"])
+
+
+def _back(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings of each path's blob; a blob without any is nowhere in `found`."""
+    back = paths.join(found, "blob", "left")
+    return back.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")), F.coalesce("base_sha256", F.lit(_NONE)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def scan_with(path: str, docs: DataFrame, rules: str = RULE_VERSION) -> DataFrame:
+    """Findings by document, out of the ledger stored at `path` (a Parquet table, begun if missing):
+    what it lacks is scanned and appended first. One writer at a time."""
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    begun = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    paths, _, new = _fresh(text_or_empty(docs), spark.read.schema(LEDGER).parquet(path) if begun else None, rules)
+    new.write.mode("append").parquet(path)
+    return _back(paths, _findings(spark.read.schema(LEDGER).parquet(path), rules))
