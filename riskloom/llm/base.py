@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where the cluster names none (tests)."""
+    """The folder all executors share, as the cluster names it; a private one in local mode alone (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="riskloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return f"{root}/riskloom-{spark.sparkContext.applicationId}"  # one folder an application, so that one removal clears it
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +47,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by `saved` that no plan to come reads again."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lean(run):
+    """`run` of a mapInArrow, giving what it freed back to the system when its task ends.
+
+    Python workers outlive their tasks: without this, what one stage needed adds to the next one's memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return wrapped
 
 
 def text_or_empty(docs: DataFrame, *extra: str, key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import saved
+from riskloom.llm.base import discard, saved
 
 
 def _state(links: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = saved(small, "links")
+        old, e = e, saved(small, "links")
+        discard(old)
         now = _state(e)
         if now == last:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import text_or_empty
+from riskloom.llm.base import lean, text_or_empty
 from riskloom.llm.kernels import chunks, span_hashes
 
 WINDOW, RUN, VOTES, BITS, HASHES, FEATURES = 64, 64, 16, 2048, 5, 160
@@ -184,4 +184,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.explode(F.concat(at, F.coalesce(extra, F.array().cast("array<struct<to:int,tail:boolean>>")))))
     rows = rows.select("doc_id", "text", "o", F.col("at.to").alias("bucket"), F.col("at.tail").alias("tail"))
     rows = rows.repartitionById(max(1, len(edges) + 1), F.col("bucket")).sortWithinPartitions("tail", "o")
-    return rows.select("doc_id", "text", "tail").mapInArrow(_compare, OUT)
+    return rows.select("doc_id", "text", "tail").mapInArrow(lean(_compare), OUT)

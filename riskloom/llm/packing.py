@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe
-from riskloom.llm.base import saved, text_or_empty
+from riskloom.llm.base import lean, saved, text_or_empty
 from riskloom.llm.kernels import chunks
 
 CAPACITY, END = 1024, 2
@@ -61,7 +61,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                 seen += np.bincount(size, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), task, np.int32)), pa.array(nth)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(lean(run), PIECES)
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -109,7 +109,7 @@ def placed(pieces: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> Dat
             seq, off = step[:, 2] + r // step[:, 3], step[:, 4] + r % step[:, 3] * size
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(off)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import saved, text_or_empty
+from riskloom.llm.base import lean, saved, text_or_empty
 from riskloom.llm.kernels import buffers, chunks, mix, span_hashes
 from riskloom.llm.suffix import suffix_order
 
@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     base = pat[row] - shift
                     yield pa.RecordBatch.from_arrays([pa.array(ids[r0 + row]), pa.array(ths[r0 + row]), pa.array(g.view(np.int64)), pa.array(full.view(np.int64)), *(pa.array((x - base).astype(np.int32)) for x in (a, lo, hi))], names=[f.split()[0] for f in ANCHORS.split(", ")])
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(lean(run), ANCHORS)
 
 
 SLICES = "core long, sub long, around binary, q1 int, q2 int, id long, th long, base int, need boolean"
@@ -129,7 +129,7 @@ def slices(held: DataFrame, length: int, width: int) -> DataFrame:
                 y = slice(x, x + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(core[y].view(np.int64)), pa.array(sub[y], pa.int64()), pa.array(around[y], pa.binary()), pa.array(q1[y].astype(np.int32)), pa.array(q2[y].astype(np.int32)), pa.array(ids[r[y]]), pa.array(ths[r[y]]), pa.array(base[y].astype(np.int32)), pa.array(need[k[y]])], names=[f.split()[0] for f in SLICES.split(", ")])
 
-    return held.mapInArrow(run, SLICES)
+    return held.mapInArrow(lean(run), SLICES)
 
 
 def repeated_windows(groups: list[list[tuple[bytes, int, int]]], width: int) -> list[list[list[int]]]:
@@ -193,7 +193,7 @@ def sorted_spans(members: DataFrame, length: int, width: int) -> DataFrame:
         if groups and (rows := flush()):
             yield _spans(rows)
 
-    return members.mapInArrow(run, SPANS)
+    return members.mapInArrow(lean(run), SPANS)
 
 
 def counted_spans(members: DataFrame, length: int, width: int) -> DataFrame:
@@ -264,4 +264,4 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int =
     found = spans(docs.select("id", "th", "text"), length, gram, width, hot).distinct()
     cover = found.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("cover")).withColumnsRenamed({"id": "rid", "th": "rth"})
     out = docs.join(cover, (docs["id"] == cover["rid"]) & (docs["th"] == cover["rth"]), "left")
-    return out.select("doc_id", "text", "cover").mapInArrow(_apply, OUT)
+    return out.select("doc_id", "text", "cover").mapInArrow(lean(_apply), OUT)

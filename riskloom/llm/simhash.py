@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import saved, text_or_empty
+from riskloom.llm.base import lean, saved, text_or_empty
 from riskloom.llm.components import components
 from riskloom.llm.kernels import buffers
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             got = [fingerprint(data[a:b].tobytes(), words) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], names=["doc_id", "fp"])
 
-    return text_or_empty(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_or_empty(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -223,8 +223,55 @@ def test_language_model_base_and_normalised(spark):
     for i, t in rows:
         w = [*t.lower().split(), None]
         assert abs(got[i]["base_score"] - sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w) and got[i]["n_known"] == sum(count[x] > 0 for x in w) and got[i]["train_tokens"] == n
-    net = lm.Net(unigram=np.full(lm.CLASSES, 1 / lm.CLASSES))
-    assert np.allclose((10.0 ** net.table()[3]).sum(1), 1, atol=1e-4)
+    # every context's probabilities of all outputs, and of a slot's words and the unknown one, add up to 1
+    r = np.random.default_rng(1)
+    net = lm.Net(r.integers(0, 9, lm.OUTPUTS).astype(float), (r.normal(0, 1, lm._EDGES[-1]), np.ones(0)))
+    w = np.concatenate([np.arange(lm.TOP + 1) * lm.SLOTS, np.arange((lm.TOP + 1) * lm.SLOTS, lm.OUTPUTS)])
+    for two, one in ((0, 0), (5, 9000)):
+        assert abs((10.0 ** net.logs(np.full(len(w), two), np.full(len(w), one), w // lm.SLOTS, w)).sum() - 1) < 1e-4
+
+
+def test_language_model_learns_context_and_covers_every_word(spark):
+    """Against a plain count of the corpus and a brute-force sum over its words: after an even word comes an odd one."""
+    rng = random.Random(3)
+    vocab = [f"w{i:03d}{'ab'[i % 2]}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(vocab[(k % 2) :: 2]) for k in range(200))) for i in range(300)]
+    got = lm.score(frame(spark, rows)).where("held_out").collect()
+    assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.05 * sum(r["n_tokens"] for r in got)
+    # the chance of a one-word text, over every word that was learnt and one for all others, is at most 1
+    words = sorted({x for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for x in t.split()})
+    ones = [(10_000 + i, w) for i, w in enumerate(words)]
+    held = [(i, w) for i, w in ones if zlib.crc32(str(i).encode()) % 7 == 2]
+    part = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, [*rows, *held])).where("doc_id >= 10000").collect()}
+    assert len(part) == len(held) and 0 < sum(10**x for x in part.values()) < 1
+
+
+def test_hashes_tell_words_of_regular_structure_apart(spark):
+    """Thue-Morse words and their complements collide under any polynomial modulo 2**64."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (3, two), (5, two), (6, "x " + one + " " + two)]
+    whole = Tokenizer.from_file(BPE)
+    got = packing.pack(frame(spark, rows), BPE).toPandas()
+    for i, t in rows:
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        part = got[got.doc_id == i].sort_values("piece")
+        assert part.length.sum() == len(ids) and [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(part.start, part.length)] == part.ids_crc32.tolist()
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in learn for w in [*t.split(), None])
+    n, v = sum(count.values()), len(count)
+    for r in lm.score(frame(spark, rows)).collect():
+        w = [*dict(rows)[r["doc_id"]].split(), None]
+        assert abs(r["base_score"] - sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) < 1e-9
+    alone = {r["doc_id"]: r["n_removed"] for r in repeats.remove(frame(spark, [(1, one), (3, two)])).collect()}
+    raw = [t.encode() for t in (one, two)]
+    times = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    for d, t in zip((1, 3), raw):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if times[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        assert alone[d] == sum(gone)
 
 
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
