@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text an Arrow batch carries at most (a longer single row still travels whole).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -71,16 +71,21 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library than glibc
-                pass
+            released()
 
     return wrapped
 
 
+def released() -> None:
+    """Give this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def text_or_empty(docs: DataFrame, *extra: str, key: str = "doc_id") -> DataFrame:
     """doc_id and text only (clashing extra columns never get further); null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

@@ -173,8 +173,13 @@ class Bpe:
         return ids, np.diff(upto)
 
 
+def unload() -> None:
+    """Forget all tables (a fifth of a second builds one): workers live on when packing is done."""
+    _loaded.clear()
+
+
 def load(path: str) -> Bpe:
-    """One table per Python worker and vocabulary."""
+    """One table per Python worker and vocabulary, until `unload`."""
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]

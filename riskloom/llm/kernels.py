@@ -29,7 +29,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def chunks(column: pa.Array, most: int = 1 << 21):
+def chunks(column: pa.Array, most: int = 1 << 20):
     """Yield (first row, end row, bytes, offsets from 0) of about `most` bytes; rows stay whole."""
     data, at = buffers(column)
     row, n = 0, len(at) - 1

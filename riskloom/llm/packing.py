@@ -60,6 +60,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                 nth[order] = seen[size[order]] + np.arange(len(size)) - run_at
                 seen += np.bincount(size, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), task, np.int32)), pa.array(nth)], names=[f.split()[0] for f in PIECES.split(", ")])
+        bpe.unload()
 
     return docs.mapInArrow(lean(run), PIECES)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import fold, lean, text_or_empty
+from riskloom.llm.base import fold, lean, released, text_or_empty
 from riskloom.llm.kernels import SPACE, chunks, mix, span_hashes, words
 
 BITS, FIT_ROWS, FIT_BYTES, EPOCHS, CUT = 18, 5000, 64 << 20, 5, 0.3
@@ -40,7 +40,7 @@ def features(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.nda
 
 
 def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """(label, indices, weights) of labelled rows, hashed on the executors."""
+    """(label, indices, weights) of labelled rows, hashed on the executors; 4-byte numbers in binary."""
 
     def run(batches):
         for batch in batches:
@@ -49,10 +49,10 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
                 key, count = np.unique(row.astype(np.int64) << bits | idx, return_counts=True)
                 edge = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.int64) << bits)
                 scale = 1 / np.sqrt(np.maximum(n, 1))
-                cols = [(key[a:b] & ((1 << bits) - 1), count[a:b] * scale[r]) for r, (a, b) in enumerate(zip(edge, edge[1:]))]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([c[0] for c in cols], pa.list_(pa.int32())), pa.array([c[1] for c in cols], pa.list_(pa.float32()))], names=["label", "idx", "x"])
+                cols = [((key[a:b] & ((1 << bits) - 1)).astype(np.int32).tobytes(), (count[a:b] * scale[r]).astype(np.float32).tobytes()) for r, (a, b) in enumerate(zip(edge, edge[1:]))]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([c[0] for c in cols], pa.binary()), pa.array([c[1] for c in cols], pa.binary())], names=["label", "idx", "x"])
 
-    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx array<int>, x array<float>")
+    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx binary, x binary")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learns, most: int, largest: int = FIT_BYTES) -> DataFrame:
@@ -91,13 +91,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learns=None,
     """Weights of the hashed table and the bias; zeros (score 0.5) where no row is labelled."""
     learns = F.lit(True) if learns is None else learns
     model = Ftrl(1 << bits)
-    data = [(np.array([*r["idx"], 1 << bits], np.int32), np.array([*r["x"], 1.0], np.float32), r["label"]) for r in examples(labelled(docs, labels, label, learns, most), bits).toLocalIterator()]  # a task's share at a time
+    data = [(np.append(np.frombuffer(r["idx"], np.int32), np.int32(1 << bits)), np.append(np.frombuffer(r["x"], np.float32), np.float32(1)), r["label"]) for r in examples(labelled(docs, labels, label, learns, most), bits).toLocalIterator()]  # a task's share at a time
     data.sort(key=lambda d: (len(d[0]), d[0][:3].tolist(), d[2]))  # the order of arrival doesn't count
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in order.permutation(len(data)):
             i, x, y = data[k]
             model.learn(i, x.astype(np.float64), y)
+    del data
+    released()
     return model.weights().astype(np.float32)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import fold, lean, text_or_empty
+from riskloom.llm.base import fold, lean, released, text_or_empty
 from riskloom.llm.kernels import LOWER, chunks, mix, span_hashes, words
 from riskloom.llm.quality import FIT_BYTES, Ftrl, bounded
 
@@ -49,9 +49,9 @@ def examples(rows: DataFrame, bits: int = BITS) -> DataFrame:
             for lo, hi, data, at in chunks(batch.column("text")):
                 idx, row = distinct(*terms(data, at, bits), bits)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([idx[a:b].astype(np.int32) for a, b in zip(edge, edge[1:])], pa.list_(pa.int32()))], names=["label", "idx"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([idx[a:b].astype(np.int32).tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], names=["label", "idx"])
 
-    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx array<int>")
+    return rows.select("label", "text").mapInArrow(lean(run), "label int, idx binary")
 
 
 class Machine:
@@ -92,11 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns=None, b
     one = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns).groupBy("doc_id").agg(F.max("label").alias("label"))
     both = [bounded(docs, one.where(F.col("label") == y), most, FIT_BYTES) for y in (0, 1)]
     rows = examples(both[0].unionByName(both[1]), bits).toLocalIterator()  # a task's share at a time
-    data = sorted(((np.array([*r["idx"], 1 << bits], np.int32), r["label"]) for r in rows), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
+    data = sorted(((np.append(np.frombuffer(r["idx"], np.int32), np.int32(1 << bits)), r["label"]) for r in rows), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
     machine, order = Machine(1 << bits), np.random.default_rng(5)
     for epoch in range(EPOCHS):
         for k in order.permutation(len(data)):
             machine.learn(*data[k], pairs=epoch >= EPOCHS // 2)
+    del data
+    released()
     return machine.frozen()
 
 
