@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import shutil
 import tempfile
 import uuid
@@ -78,7 +77,6 @@ def lean(run):
 
 def released() -> None:
     """Give this process's free memory back to the system."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

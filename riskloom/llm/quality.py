@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import fold, lean, released, text_or_empty
 from riskloom.llm.kernels import SPACE, chunks, mix, span_hashes, words
 
-BITS, FIT_ROWS, FIT_BYTES, EPOCHS, CUT = 18, 5000, 64 << 20, 5, 0.3
+BITS, FIT_ROWS, FIT_BYTES, EPOCHS, CUT = 18, 5000, 32 << 20, 5, 0.3
 U = np.uint64
 
 
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learns=None,
     """Weights of the hashed table and the bias; zeros (score 0.5) where no row is labelled."""
     learns = F.lit(True) if learns is None else learns
     model = Ftrl(1 << bits)
-    data = [(np.append(np.frombuffer(r["idx"], np.int32), np.int32(1 << bits)), np.append(np.frombuffer(r["x"], np.float32), np.float32(1)), r["label"]) for r in examples(labelled(docs, labels, label, learns, most), bits).toLocalIterator()]  # a task's share at a time
+    data = [(np.append(np.frombuffer(r["idx"], np.int32), np.int32(1 << bits)), np.append(np.frombuffer(r["x"], np.float32), np.float32(1)), r["label"]) for r in examples(labelled(docs, labels, label, learns, most), bits).coalesce(4).toLocalIterator()]  # a task's share at a time
     data.sort(key=lambda d: (len(d[0]), d[0][:3].tolist(), d[2]))  # the order of arrival doesn't count
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):

@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns=None, b
     learns = F.lit(True) if learns is None else learns
     one = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learns).groupBy("doc_id").agg(F.max("label").alias("label"))
     both = [bounded(docs, one.where(F.col("label") == y), most, FIT_BYTES) for y in (0, 1)]
-    rows = examples(both[0].unionByName(both[1]), bits).toLocalIterator()  # a task's share at a time
+    rows = examples(both[0].unionByName(both[1]), bits).coalesce(4).toLocalIterator()  # a task's share at a time
     data = sorted(((np.append(np.frombuffer(r["idx"], np.int32), np.int32(1 << bits)), r["label"]) for r in rows), key=lambda d: (len(d[0]), d[0][:3].tolist(), d[1]))
     machine, order = Machine(1 << bits), np.random.default_rng(5)
     for epoch in range(EPOCHS):
