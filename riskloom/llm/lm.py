@@ -1,7 +1,7 @@
 """Operator 10: log-bilinear language model, trained by noise-contrastive estimation.
 
 Every word falls into one of CLASSES classes - the end, the most frequent words of the training texts
-one each, and classes of words with equal last bytes, which tell languages and word forms apart - and
+one each, and classes of words with the same last two bytes, which tell languages and word forms apart - and
 there into one of SLOTS slots by its hash: 16,384 outputs. A bilinear network over the two words before
 (their outputs' vectors) gives P(class | context) and P(slot | class, context); both levels are learnt by
 NCE from noise that a batch shares, in numpy, on every training token, and normalised by batched matrix
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import fold, lean, saved, text_or_empty
 from riskloom.llm.kernels import LOWER, SPACE, chunks, mix, span_hashes, words
 
-CLASSES, TOP, SLOTS, WIDTH, TAIL = 256, 64, 64, 16, 2
+CLASSES, TOP, SLOTS, WIDTH = 256, 64, 64, 16
 OUTPUTS = CLASSES * SLOTS
 BATCH, NOISE, SLOT_NOISE, RATE = 8192, 64, 12, 0.2
 #: Documents the pilot is trained on, and training tokens that make a trainer of their own worth while.
@@ -52,7 +52,8 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     out, tail = np.zeros(int(first[-1]), U), np.zeros(int(first[-1]), np.int64)
     place = np.arange(len(h)) + row
     out[place] = h
-    tail[place] = (mix(span_hashes(data, np.maximum(s, e - TAIL), e)) % U(CLASSES - 1 - TOP)).astype(np.int64)
+    last = data[e - 1].astype(U) << U(8) | np.where(e - s > 1, data[np.maximum(e - 2, 0)], 0).astype(U)
+    tail[place] = (mix(last) % U(CLASSES - 1 - TOP)).astype(np.int64)
     return out, tail, first
 
 
@@ -128,7 +129,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def _sums(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices with the sums of their rows."""
+    """Distinct indices (under 2**16, so that they are sorted by radix) with the sums of their rows."""
+    index = index.astype(np.uint16)
     order = np.argsort(index, kind="stable")
     i = index[order]
     edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
@@ -181,7 +183,7 @@ class Net:
             # within the classes of endings: a few noise slots for each class of the batch
             at = np.flatnonzero(c > TOP)
             if len(at):
-                at = at[np.argsort(c[at], kind="stable")]
+                at = at[np.argsort(c[at].astype(np.uint16), kind="stable")]
                 k, out, x = c[at], w[at], ctx[at]
                 edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
                 drawn = np.searchsorted(self.cumulated, k[edge][:, None] + random.random((len(edge), SLOT_NOISE)))
@@ -210,25 +212,29 @@ class Net:
     def logs(self, two: np.ndarray, one: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(output | context) of each token, normalised over classes and over a class's slots."""
         A, B, C, S, cb, sb = self.parts
-        out = np.zeros(len(c))
-        for lo in range(0, len(c), BATCH):
-            part = slice(lo, lo + BATCH)
-            ctx, k = A[two[part]] + B[one[part]], c[part]
-            got = _log_share(ctx @ C.T + cb, k)
-            at = np.flatnonzero(k > TOP)
-            at = at[np.argsort(k[at], kind="stable")]
-            if len(at):
-                edge = np.flatnonzero(np.concatenate([[True], k[at][1:] != k[at][:-1]]))
-                for a, b in zip(edge, np.append(edge[1:], len(at))):
-                    rows, base = at[a:b], k[at[a]] * SLOTS
-                    got[rows] += _log_share(ctx[rows] @ S[base : base + SLOTS].T + sb[base : base + SLOTS], w[part][rows] - base)
-            out[part] = got
+        ctx, out = A[two] + B[one], np.zeros(len(c))
+        for lo in range(0, len(c), 1024):  # stays in a core's cache
+            part = slice(lo, lo + 1024)
+            out[part] = _log_share(ctx[part] @ C.T + cb, c[part])
+        at = np.flatnonzero(c > TOP)
+        at = at[np.argsort(c[at].astype(np.uint16), kind="stable")]
+        edge = np.searchsorted(c[at], np.arange(TOP + 1, CLASSES + 1))
+        for k, (a, b) in enumerate(zip(edge, edge[1:])):
+            base = (TOP + 1 + k) * SLOTS
+            for lo in range(a, b, 4096):
+                rows = at[lo : min(b, lo + 4096)]
+                out[rows] += _log_share(ctx[rows] @ S[base : base + SLOTS].T + sb[base : base + SLOTS], w[rows] - base)
         return out / math.log(10)
 
 
 def _log_share(scores: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(1, keepdims=True)
-    return scores[np.arange(len(pick)), pick].astype(np.float64) - np.log(np.exp(scores).sum(1, dtype=np.float64))
+    """Log of the picked one's share of each row's exponentials."""
+    with np.errstate(over="ignore"):
+        total = np.exp(scores).sum(1)
+    if not ((total > 1e-30) & (total < 1e30)).all():
+        scores = scores - scores.max(1, keepdims=True)
+        total = np.exp(scores).sum(1)
+    return scores[np.arange(len(pick)), pick].astype(np.float64) - np.log(total.astype(np.float64))
 
 
 def trained(docs: DataFrame, top: np.ndarray, sizes: np.ndarray, state=None) -> tuple[np.ndarray, np.ndarray] | None:
