@@ -66,6 +66,14 @@ class Spark:
     def json(text: str, key: str) -> str:
         return f"get_json_object({text}, '$.{key}')"
 
+    @staticmethod
+    def sha256(text: str) -> str:
+        return f"sha2(cast({text} as binary), 256)"
+
+    @staticmethod
+    def slice(array: str, start: int, n: int) -> str:
+        return f"slice({array}, {start}, {n})"
+
     newline = "'\\n'"
 
 
@@ -132,4 +140,12 @@ class Duck(Spark):
     def json(text: str, key: str) -> str:
         return f"json_extract_string({text}, '$.{key}')"
 
+    @staticmethod
+    def sha256(text: str) -> str:
+        return f"sha256({text})"
+
+    @staticmethod
+    def slice(array: str, start: int, n: int) -> str:
+        return f"list_slice({array}, {start}, {start + n - 1})"
+
     newline = "chr(10)"
