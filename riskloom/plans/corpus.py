@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from riskloom.functions.cleaning import converted
+from riskloom.functions.evidence import found_in
 from riskloom.functions.rules import rule_findings
 from riskloom.sources.tables import table
 
 #: Accented Hungarian and western letters and their plain forms (fixed values).
 ACCENTED, PLAIN = "áàâäéèêëíìîïóòôöőúùûüűçñ", "aaaaeeeeiiiiooooouuuuucn"
-LINES = "select doc_id, i, line from documents"
 
 
 def lines(D) -> str:
@@ -86,8 +87,15 @@ def _learners(name):
     return run
 
 
+def paged(documents):
+    """Documents as arrays of pages of 40 lines, as a converter would give them."""
+    return documents.selectExpr("doc_id", "split(regexp_replace(coalesce(text, ''), r'((?:[^\\n]*\\n){40})', concat('$1', chr(12))), chr(12)) pages")
+
+
 QUERIES = {
     "rule_extraction": lambda spark, sf_dir: rule_findings(table(spark, sf_dir, "documents")),
+    "clean_documents": lambda spark, sf_dir: converted(paged(table(spark, sf_dir, "documents"))),
+    "quote_pages": lambda spark, sf_dir: found_in(converted(paged(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark")),
     "cv_logistic_regression": _learners("cross_validated_logreg"),
     "cv_random_forest": _learners("cross_validated_forest"),
     "cv_kernel_machine": _learners("cross_validated_kernel"),
