@@ -87,9 +87,10 @@ def _learners(name):
     return run
 
 
-def paged(documents):
-    """Documents as arrays of pages of 40 lines, as a converter would give them."""
-    return documents.selectExpr("doc_id", "split(regexp_replace(coalesce(text, ''), r'((?:[^\\n]*\\n){40})', concat('$1', chr(12))), chr(12)) pages")
+def paged(documents, lines: int = 40):
+    """Documents as arrays of pages of `lines` lines, as a converter would give them."""
+    cut = documents.selectExpr("doc_id", "split(coalesce(text, ''), '\n') held")
+    return cut.selectExpr("doc_id", f"transform(sequence(0, size(held) - 1, {lines}), i -> array_join(slice(held, i + 1, {lines}), '\n')) pages")
 
 
 QUERIES = {
