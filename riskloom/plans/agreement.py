@@ -69,7 +69,7 @@ e as (select ra.source, cast(sum((a - b) * (a - b) * ra.m * cb.m) as bigint) e f
 select t.source, n, n * o observed, e expected, case when e <> 0 then round(1 - cast(n * o as double) / e, 9) end kappa from t join e on t.source = e.source""",
     "label_error_sizes": lambda D: f"with {confusion(D)}, e as (select source, points - gold size, cast(sum(n) as bigint) n from pairs group by source, points - gold) select s.source, x.size, coalesce(n, 0) n from (select distinct source from cells) s cross join (select * from (values (-3), (-2), (-1), (0), (1), (2), (3)) as x(size)) x left join e on e.source = s.source and e.size = x.size",
     "acceptance_counts": lambda D: f"with {cells(D)}, a as (select factor, count(case when source = 'regex' and category = 'agree' then 1 end) old_agree, count(case when source = 'llm' and category = 'agree' then 1 end) new_agree, count(case when source = 'llm' and category in ('agree', 'disagree') then 1 end) new_found from cells group by factor) select *, case when new_agree >= old_agree then 1 else 0 end accepted from a",
-    "all_error_documents": lambda D: "select user_id, count(*) n from events group by user_id having sum(case when event_type <> 'error' then 1 else 0 end) <= 60",
+    "all_error_documents": lambda D: "select user_id, cast(ts as date) day_, count(*) n from events group by user_id, cast(ts as date) having sum(case when event_type <> 'error' then 1 else 0 end) = 0",
     "status_pivot": lambda D: "select user_id, count(case when event_type = 'error' then 1 end) error, count(case when event_type = 'click' then 1 end) click, count(case when event_type = 'purchase' then 1 end) purchase, count(case when event_type in ('view', 'signup') then 1 end) other from events group by user_id",
     "json_properties": lambda D: f"select event_type, cast({D.json('props', 'k')} as bigint) % 10 k, count(*) n from events group by event_type, cast({D.json('props', 'k')} as bigint) % 10",
     "distinct_counts": lambda D: "select event_type, count(distinct user_id) users, count(*) n, max(ts) last_ts from events group by event_type",

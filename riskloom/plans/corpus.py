@@ -5,7 +5,7 @@ from __future__ import annotations
 from riskloom.functions.cleaning import converted
 from riskloom.functions.evidence import found_in
 from riskloom.functions.rules import rule_findings
-from riskloom.sources.tables import table
+from riskloom.sources.tables import CATALOGUE, catalogue, table
 
 #: Accented Hungarian and western letters and their plain forms (fixed values).
 ACCENTED, PLAIN = "áàâäéèêëíìîïóòôöőúùûüűçñ", "aaaaeeeeiiiiooooouuuuucn"
@@ -19,6 +19,21 @@ def blank_runs(D) -> str:
     return f"{lines(D)}, t as (select doc_id, i, rtrim(line) line, case when trim(line) = '' then 1 else 0 end blank from lines), k as (select *, lag(blank) over (partition by doc_id order by i) before from t)"
 
 
+# What names of annexes, templates, guides, deeds and forms hold; lines of a title.
+NON_CALL = "utmutato|mellekl|sablon|minta|szerzod|okirat|aszf|segedlet|kerdoiv|adatlap|nyomtatvany|eljarasi-rend|kezikonyv|tajekoztato|mutato|tsm|cash-flow|likviditasi|import|(^|-)to(-|[.]pdf$)"
+TITLE_LINES = 8
+
+
+def typed(D) -> str:
+    """CTE typed: folded file names, and the first lines of page 1 without white space."""
+    fold = lambda x: f"translate(lower({x}), '{ACCENTED}', '{PLAIN}')"
+    name = "concat(case doc_id % 9 when 0 then 'Útmutató-' when 1 then 'Pályázati_FELHÍVÁS-' when 2 then 'termékleírás-' when 3 then 'GINOP-to-' else 'doc-' end, cast(doc_id as varchar(20)), '.pdf')"
+    page = "concat(case doc_id % 4 when 0 then concat('F', chr(10), 'ELHÍVÁS', chr(10)) when 1 then concat(chr(10), 'Termék leírás', chr(10)) else '' end, text)"
+    lines_ = D.keep(D.map(D.split(page, chr(92) + 'n'), 'x', 'trim(x)'), 'x', 'length(x) > 0')
+    head = D.slice(lines_, 1, TITLE_LINES)
+    return f"typed as (select doc_id, {fold(name)} name, {D.swap(fold(D.join(head, repr(' '))), '[ ]+', '')} title from documents where text is not null)"
+
+
 def tokens(D) -> str:
     return f"tok as (select doc_id, w from documents {D.each(D.found('lower(text)', '[a-z]{2,}'), 'w')})"
 
@@ -38,6 +53,8 @@ def codes(D) -> str:
     return f"raws as (select c_custkey, {CODE['raw']} raw from customer), codes as (select c_custkey, raw, rtrim({D.swap('upper(' + b + ')', '[.]-', '-')}, '.') code from raws)".replace("rtrim(" + D.swap('upper(' + b + ')', '[.]-', '-') + ", '.')", D.swap(D.swap('upper(' + b + ')', '[.]-', '-'), '[.]+$', ''))
 
 
+#: Canonical JSON (sorted keys, no blanks) of what a vector was made from.
+CACHE_KEY = """concat('{"label":', cast(label as varchar(20)), ',"vec_id":', cast(vec_id as varchar(20)), '}')"""
 MONEY = "concat(cast(cast(floor(o_totalprice) as bigint) as varchar(20)), case when o_orderkey % 4 = 0 then ' Ft' when o_orderkey % 4 = 1 then ' ezer forint' when o_orderkey % 4 = 2 then ',25 millió forint' else ',5 Mrd Ft' end)"
 
 SQL = {
@@ -50,7 +67,7 @@ r as (select *, count(*) over (partition by call, marker) ties, row_number() ove
 b as (select *, max(case when ties > 1 then 1 else 0 end) over (partition by call order by marker desc, id rows between unbounded preceding and current row) bad from r),
 p as (select call, min(case when readable = 1 then k end) k from b group by call) select b.call, b.id, b.marker, b.bad unclear from b join p on b.call = p.call and b.k = p.k""".replace("cast(o_totalprice / 20000 as bigint)", "cast(floor(o_totalprice / 20000) as bigint)"),
     "fold_accents": lambda D: f"select doc_id, translate(lower(substr(text, 1, 1000000)), '{ACCENTED}', '{PLAIN}') folded from documents".replace("substr(text, 1, 1000000)", "text"),
-    "document_types": lambda D: f"with f as (select doc_id, translate(lower(text), '{ACCENTED}', '{PLAIN}') t from documents) select case when {D.like('t', 'password|secret|token')} then 'secret' when {D.like('t', 'copyright|license')} then 'license' when {D.like('t', '[0-9]{4}')} then 'dated' else 'call' end kind, count(*) n from f group by 1",
+    "document_types": lambda D: f"with {typed(D)} select doc_id, case when {D.like('name', NON_CALL)} then 'other' when name like '%termekleir%' then 'product_description' when name like '%felhiv%' then 'main_call' when title like '%termekleiras%' then 'product_description' when title like '%felhivas%' then 'main_call' else 'unknown' end kind from typed",
     "page_furniture": lambda D: f"with {lines(D)}, e as (select doc_id, {D.swap('trim(line)', '[0-9]', '#')} k from lines where trim(line) <> ''), n as (select count(distinct doc_id) n from e) select k line_key, count(distinct doc_id) documents from e group by k having count(distinct doc_id) >= 2 and count(*) > 2",
     "tidy_whitespace": lambda D: f"with {blank_runs(D)} select doc_id, count(case when blank = 0 or coalesce(before, 1) = 0 then 1 end) kept, count(case when blank = 1 and coalesce(before, 1) = 1 then 1 end) dropped from k group by doc_id",
     "table_lines": lambda D: f"with {lines(D)} select doc_id, count(case when line like '%|%' then 1 end) table_lines, count(*) n, count(case when {D.like('line', '^[|][- |:]+[|]?$')} then 1 end) separators from lines group by doc_id",
@@ -59,21 +76,17 @@ p as (select call, min(case when readable = 1 then k end) k from b group by call
     "html_plain_text": lambda D: f"select page_id, trim({D.swap(D.swap('html', '<[^>]*>', ' '), '[ ]+', ' ')}) plain from pages",
     "cells_on_one_line": lambda D: f"with {lines(D)} select doc_id, cast(i as bigint) line_no, case when ltrim(line) like '|%' then {D.swap('line', '<br */?>', ' ')} else line end line from lines where line like '%|%'",
     "evidence_pages": lambda D: "select b.item_id, d.doc_id, cast(length(substr(d.text, 1, cast(strpos(d.text, b.text) - 1 as int))) / 3000 as bigint) + 1 page from benchmark b join documents d on contains(d.text, b.text)".replace("strpos(d.text, b.text)", "position(b.text in d.text)").replace("cast(length(substr(d.text, 1, cast(position(b.text in d.text) - 1 as int))) / 3000 as bigint) + 1", "cast(floor((position(b.text in d.text) - 1) / 3000) as bigint) + 1"),
-    "evidence_audit": lambda D: "with m as (select b.item_id, count(d.doc_id) n from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id) select case when n > 0 then 'found' else 'missing' end status, count(*) items, cast(sum(n) as bigint) hits from m group by 1",
+    "evidence_audit": lambda D: "with m as (select b.item_id, coalesce(h.n, 0) n from benchmark b left join (select q.item_id, count(*) n from documents d join benchmark q on contains(d.text, q.text) group by q.item_id) h on h.item_id = b.item_id) select case when n > 0 then 'found' else 'missing' end status, count(*) items, cast(sum(n) as bigint) hits from m group by 1",
     "as_of_pages": lambda D: "with p as (select user_id, event_id, ts, case when event_type = 'signup' then event_id end mark from events) select user_id, event_id, max(mark) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) last_signup from p",
     "money_values": lambda D: f"""with m as (select o_orderkey, {MONEY} t from orders), x as (select o_orderkey, t, {D.first('t', '^([0-9]+)', 1)} whole, {D.first('t', ',([0-9]+)', 1)} part from m)
 select o_orderkey, cast(cast(concat(whole, '.', case when part = '' then '0' else part end) as decimal(20,4)) * case when t like '%millió%' then 1000000 when t like '%Mrd%' then 1000000000 when t like '%ezer%' then 1000 else 1 end as bigint) amount from x""",
     "date_values": lambda D: f"with m as (select o_orderkey, concat(cast(year(o_orderdate) as varchar(5)), '. ', lpad(cast(month(o_orderdate) as varchar(5)), 2, '0'), '. ', lpad(cast(o_orderkey % 33 as varchar(5)), 2, '0'), '.') t from orders), x as (select o_orderkey, t, {D.swap('t', '[. ]+', '-')} d from m) select o_orderkey, cast(try_cast(substr(d, 1, 10) as date) as varchar(10)) day from x".replace("as varchar(10)) day", "as varchar(10)) iso_day"),
     "month_spans": lambda D: f"with m as (select o_orderkey, cast(o_orderdate as date) a, cast(l_shipdate as date) b from orders join lineitem on o_orderkey = l_orderkey and l_linenumber = 1) select o_orderkey, min(360 * (year(b) - year(a)) + 30 * (month(b) - month(a)) + (day(b) - day(a))) thirtieths from m group by o_orderkey".replace("min(360", "min(cast(360").replace("(day(b) - day(a)))", "(day(b) - day(a)) as bigint))"),
     "date_periods": lambda D: f"with e as (select user_id, event_id, cast(ts as date) d, row_number() over (partition by user_id order by ts, event_id) k from events) select a.user_id, min({D.days('b.d', 'a.d')}) shortest, count(*) periods from e a join e b on a.user_id = b.user_id and a.k % 2 = 1 and b.k = a.k + 1 group by a.user_id".replace("min(", "min(cast(").replace(") shortest", " as bigint)) shortest"),
-    "token_counts": lambda D: f"with {tokens(D)} select doc_id, count(*) tokens, count(distinct w) vocabulary from tok group by doc_id",
-    "tfidf_features": lambda D: f"with {tfidf(D)} select x.doc_id, x.w term, round(v / s, 6) weight from x join l2 on x.doc_id = l2.doc_id where v / s > 0.2",
     "nearest_centroid": lambda D: f"with {tfidf(D)}, lab as (select doc_id, max(quality) y from labels group by doc_id), c as (select y, w, sum(v / s) v from x join l2 on x.doc_id = l2.doc_id join lab on x.doc_id = lab.doc_id where x.doc_id % 5 <> 0 group by y, w), q as (select y, sqrt(sum(v * v)) s from c group by y), sc as (select x.doc_id, c.y, round(sum(x.v * c.v) / max(l2.s * q.s), 9) cosine from x join c on x.w = c.w join l2 on x.doc_id = l2.doc_id join q on q.y = c.y join lab on lab.doc_id = x.doc_id where x.doc_id % 5 = 0 group by x.doc_id, c.y) select doc_id, max_by(y, {D.st}(cosine, y)) predicted, round(max(cosine), 6) cosine from sc group by doc_id",
-    "bigrams": lambda D: f"with w as (select doc_id, i, t from documents {D.each_at(D.found('lower(text)', '[a-z]{2,}'), 't', 'i')}), b as (select t, lead(t) over (partition by doc_id order by i) u from w) select concat(t, ' ', u) bigram, count(*) n from b where u is not null group by concat(t, ' ', u) having count(*) >= 20",
     "chunk_plan": lambda D: f"with n as (select doc_id, {D.size}({D.split_re('text', '[ ]+')}) n from documents), k as (select doc_id, n, cast(floor((n + 255) / 256) as bigint) k from n) select doc_id, cast(k as bigint) chunks, cast(n - 256 * (k - 1) as bigint) last_chunk from k",
-    "cache_keys": lambda D: "select vec_id, substr(md5(concat(cast(vec_id as varchar(20)), '|', cast(label as varchar(20)))), 1, 16) cache_key from embeddings",
+    "cache_keys": lambda D: f"select vec_id, {D.sha256(CACHE_KEY)} cache_key from embeddings",
     "hashed_texts": lambda D: "select doc_id, substr(md5(trim(text)), 1, 16) text_hash, cast(length(text) as bigint) n from documents",
-    "catalogue": lambda D: "select n_regionkey region, count(*) nations, min(n_name) first_name, max(n_name) last_name from nation group by n_regionkey",
     "number_format": lambda D: f"select p_partkey, replace(cast(cast(p_retailprice as decimal(12,2)) as varchar(20)), '.', ',') shown from part",
 }
 
@@ -93,12 +106,17 @@ def paged(documents, lines: int = 40):
     return cut.selectExpr("doc_id", f"transform(sequence(0, size(held) - 1, {lines}), i -> array_join(slice(held, i + 1, {lines}), '\n')) pages")
 
 
+ORACLE = {"catalogue": CATALOGUE}
 QUERIES = {
+    "catalogue": catalogue,
     "rule_extraction": lambda spark, sf_dir: rule_findings(table(spark, sf_dir, "documents")),
     "clean_documents": lambda spark, sf_dir: converted(paged(table(spark, sf_dir, "documents"))),
     "quote_pages": lambda spark, sf_dir: found_in(converted(paged(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark")),
     "cv_logistic_regression": _learners("cross_validated_logreg"),
+    "cv_tuned_regression": _learners("cross_validated_tuned"),
     "cv_random_forest": _learners("cross_validated_forest"),
     "cv_kernel_machine": _learners("cross_validated_kernel"),
-    "corrected_t_pvalues": lambda spark, sf_dir: __import__("riskloom.operators.statistics", fromlist=["x"]).t_table(spark),
+    "cv_ridge_regression": _learners("cross_validated_ridge"),
+    "cv_grouped_regression": _learners("grouped_logreg"),
+    "factor_probes": _learners("factor_probes"),
 }

@@ -63,6 +63,7 @@ cumv as (select model, p, cast(sum(y) over (partition by model order by p desc)
 
 
 SQL = {
+    "period_macro": lambda D: f"with {predictions(D)}, pp as (select *, cast(doc_id % 4 as bigint) period from pred), t as (select model, period, c.label c, count(case when pp.label = c.label and predicted = c.label then 1 end) tp, count(case when pp.label = c.label then 1 end) s, count(case when predicted = c.label then 1 end) q from pp cross join (select distinct label from lab) c group by model, period, c.label) select model, period, round(avg(case when s + q > 0 then cast(2 * tp as double) / (s + q) end), 9) macro, count(case when s + q > 0 then 1 end) present from t group by model, period",
     "stratified_folds": lambda D: f"with {folds(D)} select rep, cast(fold as bigint) fold, label, count(*) n from folds group by rep, fold, label",
     "fold_assignment": lambda D: f"with {folds(D)} select doc_id, rep, cast(fold as bigint) fold from folds",
     "fold_class_range": lambda D: f"with {folds(D)}, c as (select rep, fold, label, count(*) n from folds group by rep, fold, label) select label, min(n) least, max(n) most from c group by label",
@@ -79,11 +80,7 @@ SQL = {
     "fold_summary": lambda D: f"with {fold_scores(D)} select model, count(*) folds, round(avg(f1), 9) mean, round(stddev_samp(f1), 9) sd from f group by model",
     "model_comparison_rank": lambda D: f"with {fold_scores(D)}, s as (select model, round(avg(f1), 12) f1 from f group by model) select model, round(f1, 9) mean, cast(rank() over (order by f1 desc) as bigint) place, case when model <> 'majority' and f1 = max(case when model <> 'majority' then f1 end) over () then 1 else 0 end best from s",
     "model_grid": lambda D: f"with {fold_scores(D)}, s as (select model, case when mno % 2 = 0 then 'even' else 'odd' end kind, avg(f1) f1 from f group by model, mno) select coalesce(model, kind) key, case when model is null then 'kind' else 'model' end axis, round(avg(f1), 9) mean, count(*) n from s group by grouping sets ((model), (kind))",
-    "period_macro": lambda D: f"with {predictions(D).replace('mno, model, {h} h', 'mno, model, {h} h')}, pp as (select *, cast(doc_id % 4 as bigint) period from pred), t as (select model, period, c.label c, count(case when pp.label = c.label and predicted = c.label then 1 end) tp, count(case when pp.label = c.label then 1 end) s, count(case when predicted = c.label then 1 end) q from pp cross join (select distinct label from lab) c group by model, period, c.label) select model, period, round(avg(case when s + q > 0 then cast(2 * tp as double) / (s + q) end), 9) macro, count(case when s + q > 0 then 1 end) present from t group by model, period",
     "paired_folds": lambda D: f"with {paired(D)} select model, rep, cast(fold as bigint) fold, round(d, 9) d from pairs",
-    "corrected_t": lambda D: f"with {paired(D)} select model, n, round(m, 9) mean, round(sqrt(v), 9) sd, cast(n - 1 as bigint) df, round(case when v = 0 then null else m / sqrt((1.0 / n + 0.25) * v) end, 6) t from st",
-    "holm_stepdown": lambda D: f"with {paired(D)}, p as (select model, round(1 / (1 + exp(1.702 * abs(m) / sqrt((1.0 / n + 0.25) * v))), 12) p from st), k as (select model, p, row_number() over (order by p, model) k, count(*) over () m from p) select model, round(p, 9) p, round(max(least(1.0, (m - k + 1) * p)) over (order by k), 9) p_holm from k",
-    "outcome_classes": lambda D: f"with {paired(D)}, b as (select model, m, m - 2.063899 * sqrt((1.0 / n + 0.25) * v) lo, m + 2.063899 * sqrt((1.0 / n + 0.25) * v) hi from st) select model, round(m, 9) mean, round(lo, 9) low, round(hi, 9) high, case when lo > 0 then 'embedding_outperforms' when hi < 0 then 'tfidf_outperforms' when lo > -0.02 and hi < 0.02 then 'practically_equivalent' else 'inconclusive' end outcome, case when abs(lo) < 0.02 and abs(hi) < 0.02 then 1 else 0 end negligible from b",
     "auc_ranks": lambda D: f"with {vertices(D)} select model, round(cast(sum(y * (2 * (nn - fp) + x)) as double) / cast(2 * max(np) * max(nn) as double), 9) auc from (select v.*, c.y, c.x from cumv v join curve c on v.model = c.model and v.p = c.p) z group by model",
     "roc_grid": lambda D: f"""with {vertices(D)}, v as (select model, tp, fp, np, nn from cumv union select model, cast(0 as bigint), cast(0 as bigint), max(np), max(nn) from cumv group by model),
 steps as (select model, fp, np, nn, max(tp) top, min(tp) bottom from v group by model, fp, np, nn), seg as (select *, lead(fp) over (partition by model order by fp) fp2, lead(bottom) over (partition by model order by fp) tp2 from steps),
@@ -94,9 +91,7 @@ select model, cast(g as bigint) point, round(case when g * nn = 200 * fp or fp2
     "error_overlap": lambda D: f"with {predictions(D)} select x.rep, count(case when x.predicted <> x.label and y.predicted <> y.label then 1 end) both_wrong, count(case when x.predicted <> x.label and y.predicted = y.label then 1 end) only_a, count(case when x.predicted = x.label and y.predicted <> y.label then 1 end) only_b, count(case when x.predicted = x.label and y.predicted = y.label then 1 end) neither from pred x join pred y on x.doc_id = y.doc_id and x.rep = y.rep and x.model = 'tfidf' and y.model = 'e5' group by x.rep",
     "error_rates_by_group": lambda D: f"with {predictions(D)}, s as (select model, 'parity' kind, cast(doc_id % 2 as varchar(10)) grp, predicted, label from pred union all select model, 'bucket', cast(doc_id % 5 as varchar(10)), predicted, label from pred union all select model, 'label', label, predicted, label from pred) select model, kind, grp, count(*) n, count(case when predicted <> label then 1 end) wrong from s group by model, kind, grp",
     "spearman": lambda D: f"with {predictions(D)}, d as (select model, doc_id, avg(p_high) p, max({CLASS.format(x='label')}) y from pred group by model, doc_id), r as (select model, rank() over (partition by model order by p) + (count(*) over (partition by model, p) - 1) / 2.0 a, rank() over (partition by model order by y) + (count(*) over (partition by model, y) - 1) / 2.0 b from d) select model, round(corr(cast(a as double), cast(b as double)), 6) rho from r group by model",
-    "top_terms": lambda D: f"""with {folds(D)}, w as (select distinct doc_id, label, t from (select l.doc_id, label, t from lab l join documents d on l.doc_id = d.doc_id {D.each(D.split_re('lower(text)', '[^a-z]+'), 't')}) x where length(t) >= 3), c as (select label, t, count(*) n from w group by label, t), k as (select label, t, n, row_number() over (partition by label order by n desc, t) place from c) select label, t term, n, cast(place as bigint) place from k where place <= 30""",
     "tuning_summary": lambda D: f"with {fold_scores(D)}, b as (select rep, fold, max_by(mno, {D.st}(round(f1, 12), -mno)) chosen from f where mno > 0 group by rep, fold) select chosen, count(*) n from b group by chosen",
-    "cosine_similarity": lambda D: f"with e as (select vec_id, i, cast(x as double) x from embeddings {D.each_at('embedding', 'x', 'i')} where vec_id < 60), n as (select vec_id, sqrt(sum(x * x)) s from e group by vec_id), d as (select a.vec_id a, b.vec_id b, sum(a.x * b.x) dot from e a join e b on a.i = b.i and a.vec_id < b.vec_id group by a.vec_id, b.vec_id) select d.a, d.b, round(dot / (x.s * y.s), 6) cosine from d join n x on x.vec_id = d.a join n y on y.vec_id = d.b".replace(" where vec_id < 60", "").replace("a.vec_id < b.vec_id", "b.vec_id = a.vec_id + 1"),
+    "cosine_similarity": lambda D: f"with e as (select vec_id, i, cast(x as double) x from embeddings {D.each_at('embedding', 'x', 'i')}), n as (select vec_id, sqrt(sum(x * x)) s from e group by vec_id), d as (select a.vec_id a, b.vec_id b, sum(a.x * b.x) dot from e a join e b on a.i = b.i and a.vec_id < b.vec_id and b.vec_id <= a.vec_id + 20 group by a.vec_id, b.vec_id) select d.a, d.b, round(dot / (x.s * y.s), 6) cosine from d join n x on x.vec_id = d.a join n y on y.vec_id = d.b",
     "pooled_vectors": lambda D: f"with e as (select vec_id, label, i, cast(x as double) x from embeddings {D.each_at('embedding', 'x', 'i')}) select label, cast(i as bigint) dim, round(sum(x * (1 + vec_id % 5)) / sum(1 + vec_id % 5), 6) pooled from e group by label, i",
 }
-SQL["period_macro"] = lambda D: f"with {predictions(D)}, pp as (select *, cast(doc_id % 4 as bigint) period from pred), t as (select model, period, c.label c, count(case when pp.label = c.label and predicted = c.label then 1 end) tp, count(case when pp.label = c.label then 1 end) s, count(case when predicted = c.label then 1 end) q from pp cross join (select distinct label from lab) c group by model, period, c.label) select model, period, round(avg(case when s + q > 0 then cast(2 * tp as double) / (s + q) end), 9) macro, count(case when s + q > 0 then 1 end) present from t group by model, period"

@@ -169,6 +169,9 @@ SQL = {
     "significance": lambda D: f"with {compared(D)} select b.model reference, {TEST.replace('model, ', 'h.model, ', 1)} from holm_ h cross join best_ b",
     "tfidf_comparison": lambda D: f"with {against_tfidf(D)} select {TEST}, outcome, note from outc",
     "tfidf_verdict": lambda D: f"with {against_tfidf(D)} select case when count(case when outcome = 'embedding_outperforms' then 1 end) > 0 then 'H1 supported' else 'H1 not supported' end verdict, count(*) comparisons, count(case when outcome = 'embedding_outperforms' then 1 end) supporting from outc",
+    "corrected_t": lambda D: f"with {against_tfidf(D)} select model, n, round(mean, 9) mean, round(sd, 9) sd, round(t, 6) t, round(p, 8) p, round(ci_low, 9) ci_low, round(ci_high, 9) ci_high from holm_",
+    "holm_stepdown": lambda D: f"with {against_tfidf(D)} select model, round(p, 8) p, round(p_holm, 8) p_holm from holm_",
+    "outcome_classes": lambda D: f"with {against_tfidf(D)} select model, round(mean, 9) mean, round(ci_low, 9) ci_low, round(ci_high, 9) ci_high, round(p_holm, 8) p_holm, outcome, note from outc",
     "mcnemar_exact": lambda D: f"""with {predictions(D)}, bc as (select x.model, count(case when x.predicted <> x.label and y.predicted = y.label then 1 end) b, count(case when x.predicted = x.label and y.predicted <> y.label then 1 end) c from pred x join pred y on x.doc_id = y.doc_id and x.rep = y.rep and x.rep = 0 and y.model = 'tfidf' and x.model <> 'tfidf' group by x.model),
 num as (select id i from ({'select explode(sequence(0, 5000)) id' if D.idiv == 'div' else 'select unnest(generate_series(0, 5000)) id'}) z), lf as (select i, sum(case when i = 0 then 0e0 else ln(cast(greatest(i, 1) as double)) end) over (order by i) v from num),
 term as (select bc.model, b, c, sum(exp(n.v - k.v - r.v - (b + c) * ln(2e0))) s from bc join lf n on n.i = b + c join lf k on k.i <= least(b, c) join lf r on r.i = b + c - k.i group by bc.model, b, c) select model, b, c, round(least(1e0, 2 * s), 8) p from term""",
@@ -202,6 +205,11 @@ case when p.doc_id is null then null when o.factor = 'max_tam_int' and fin_form
     "conversion_report": lambda D: f"""with {texts(D)}, w as (select doc_id, status, case when length(text) < 8000 then 1 else 0 end low_text, case when {D.like('text', '[õûÕÛ]')} then 1 else 0 end suspect from tx)
 select 'status' kind, status name, count(*) n from w group by status union all select 'warning', 'low_text', cast(sum(low_text) as bigint) from w where status = 'ok' union all select 'warning', 'suspect_encoding', cast(sum(suspect) as bigint) from w where status = 'ok'""",
     "explain_summaries": lambda D: f"with {explained(D)} select analysis, representation, classifier, target, setting, metric, round(avg(value), 9) mean, round(stddev_samp(value), 9) sd, count(*) n from ex group by analysis, representation, classifier, target, setting, metric",
+    "label_agreement": lambda D: f"""with {sources(D)}, t as (select source, doc_id, cast(sum(points) as bigint) total from obs where points is not null group by source, doc_id), l as (select source, doc_id, total, case when floor((20 * total + 3) / 6e0) <= 33 then 0 when floor((20 * total + 3) / 6e0) <= 66 then 1 else 2 end label from t),
+p as (select s.source, g.label a, s.label b, s.total - g.total diff from l g join l s on g.doc_id = s.doc_id and g.source = 'manual' and s.source <> 'manual'),
+n_ as (select source, count(*) n, count(case when a = b then 1 end) agree, cast(sum(abs(diff)) as bigint) diff, {', '.join(f"count(case when b - a = {k} then 1 end) err_{'m' if k < 0 else 'p' if k > 0 else ''}{abs(k)}" for k in range(-2, 3))}, cast(sum((a - b) * (a - b)) as bigint) o from p group by source),
+e_ as (select x.source, cast(sum((x.a - y.b) * (x.a - y.b) * x.m * y.m) as bigint) e from (select source, a, count(*) m from p group by source, a) x join (select source, b, count(*) m from p group by source, b) y on x.source = y.source group by x.source)
+select n_.source, n, agree, err_m2, err_m1, err_0, err_p1, err_p2, round(cast(diff as double) / n, 9) mean_diff, case when e <> 0 then round(1 - cast(n * o as double) / e, 9) end kappa from n_ join e_ on n_.source = e_.source""",
     "coverage_matrix": lambda D: f"with {points(D)} select factor, " + ", ".join(f"count(case when origin = '{o}' then 1 end) {o}" for o in ("band", "mean", "top_rule", "loan_rule")) + ", " + ", ".join(f"count(case when points = {p} then 1 end) points_{p}" for p in range(4)) + " from pts group by factor",
     "tercile_cut_report": lambda D: f"""with {ranked(D)}, n_ as (select cast(max(n) as bigint) n from cum), cuts as (select 1 no, c1 c, n from k1 cross join n_ union all select 2, c2, n from k2 cross join n_), tie as (select num, m, c hi, c - m lo from (select s.num, s.m, cum.c from scores s join cum on s.num = cum.num) z)
 select no cut, c position, round(no * n / 3e0, 6) target, max(t.m) tied_group, max(case when 3 * t.hi <= 3 * c then 'below' else 'above' end) went_to from cuts left join tie t on 3 * t.lo < no * n and 3 * t.hi > no * n group by no, c, n""",

@@ -14,3 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def views(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, column_name, place) of every source table, from the files' own schemas."""
+    rows = [(t, c, i) for t in TABLES for i, c in enumerate(table(spark, sf_dir, t).columns, 1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, place int")
+
+
+CATALOGUE = "select table_name, column_name, cast(ordinal_position as int) place from information_schema.columns where table_name in (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
