@@ -152,36 +152,42 @@ def _compare(batches):
                 break
 
 
+def buckets(ids: np.ndarray, missing: np.ndarray, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Bucket of each (id, text hash), in their order; a null id comes first.
+
+    An id that fills several quantiles is spread over their buckets by ranges of the hash."""
+    ids = np.where(missing, np.iinfo(np.int64).min, ids)
+    lo, hi = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    part = (h.view(U) ^ U(1 << 63)) >> U(32)  # rises with the signed hash
+    return (lo + (part.astype(np.int64) * (hi - lo + 1) >> 32)).astype(np.int32)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Digest of every text and of its edited text, with how alike they and the next text's are.
 
     The next document is the next in order of (doc_id, text hash), a null doc_id first; after the last
     comes the first, so a lone document follows itself. Null texts are empty; an empty text has no
     filter and is alike (1) only to another empty one. Repeated rows are separate documents; an empty
-    table gives no rows. Ids are cut into buckets at approximate quantiles; buckets are read as
-    sorted streams, and each also gets a copy of the row that begins the next one."""
+    table gives no rows. Rows are cut into buckets at approximate quantiles of the ids and, where one id
+    fills several, of the hash; buckets are read as sorted streams, and each also gets a copy of the row
+    that begins the next one."""
     spark = docs.sparkSession
     docs = text_or_empty(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 1000).alias("q")).first()["q"]  # n values
-    edges = np.array(sorted(set(cuts or [])), np.int64)
+    id_ = F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min)))
+    cuts = docs.select(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], 1000).alias("q")).first()["q"]  # n values
+    cuts = np.array(sorted(cuts or []), np.int64)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-
-        missing = ids.isna()
-        return pd.Series(np.where(missing, 0, np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), "right")), dtype="int32")
-
-    order = F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
-    rows = docs.select("doc_id", "text", order.alias("o"), bucket("doc_id").alias("bucket"))
-    heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.min("o").alias("head")).collect())  # a row for each bucket
-    at = F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")))
-    extra = F.lit(None).cast("array<struct<to:int,tail:boolean>>")
-    if heads:
-        marks = F.create_map(*[x for k, (_, h) in enumerate(heads) for x in (F.lit(f"{h['some']}|{h['id']}|{h['h']}".lower()), F.lit(heads[k - 1][0]))])
-        to = F.element_at(marks, F.concat_ws("|", "o.some", "o.id", "o.h")) if len(heads) else F.lit(None)
-        extra = F.when(to.isNotNull(), F.array(F.struct(to.cast("int").alias("to"), F.lit(True).alias("tail"))))
-    rows = rows.withColumn("at", F.explode(F.concat(at, F.coalesce(extra, F.array().cast("array<struct<to:int,tail:boolean>>")))))
-    rows = rows.select("doc_id", "text", "o", F.col("at.to").alias("bucket"), F.col("at.tail").alias("tail"))
-    rows = rows.repartitionById(max(1, len(edges) + 1), F.col("bucket")).sortWithinPartitions("tail", "o")
+    def bucket(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(buckets(ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), h.to_numpy(np.int64), cuts))
+
+    rows = docs.select("doc_id", "text", F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("bucket", bucket("doc_id", "h"))
+    heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("some", "id", "h")).alias("head")).collect())  # a row for each bucket
+    copies = [(h["some"], h["id"], h["h"], heads[k - 1][0]) for k, (_, h) in enumerate(heads)]
+    copies = spark.createDataFrame(copies, "hsome boolean, hid long, hh long, to int")  # likewise, so small enough to broadcast
+    again = rows.join(F.broadcast(copies), (F.col("some") == F.col("hsome")) & (F.col("id") == F.col("hid")) & (F.col("h") == F.col("hh"))).select("doc_id", "text", "some", "id", "h", F.col("to").alias("bucket"), F.lit(True).alias("tail"))
+    rows = rows.select("doc_id", "text", "some", "id", "h", "bucket", F.lit(False).alias("tail")).unionByName(again)
+    rows = rows.repartitionById(max(1, len(cuts) + 1), F.col("bucket")).sortWithinPartitions("tail", "some", "id", "h")
     return rows.select("doc_id", "text", "tail").mapInArrow(lean(_compare), OUT)
