@@ -8,9 +8,10 @@ from riskloom.plans.scoring import points
 def sources(D) -> str:
     """CTE obs: points by source. regex: every value but a seventh; llm: shifted for some; manual: a tenth, as points."""
     return f"""{points(D)},
-obs as (select 'regex' source, doc_id, period, factor, ord, case when (doc_id + ord) % 7 = 0 then null else band end points from (select *, case when origin = 'band' then points end band from pts) p
-  union all select 'llm', doc_id, period, factor, ord, case when (doc_id + ord) % 9 = 0 then null when (doc_id + 3 * ord) % 5 = 0 then (points + 1) % 4 else points end from pts where origin = 'band' and doc_id % 17 <> 0
-  union all select 'manual', doc_id, period, factor, ord, (points + case when doc_id % 40 = 0 then 1 else 0 end) % 4 from pts where origin = 'band' and doc_id % 10 = 0),
+srcs as (select * from (values ('regex'), ('llm'), ('manual')) as s(source)),
+obs as (select source, doc_id, period, factor, ord, case source when 'regex' then case when (doc_id + ord) % 7 = 0 then null else band end
+    when 'llm' then case when (doc_id + ord) % 9 = 0 then null when (doc_id + 3 * ord) % 5 = 0 then (band + 1) % 4 else band end else (band + case when doc_id % 40 = 0 then 1 else 0 end) % 4 end points
+  from (select *, case when origin = 'band' then points end band from pts) p cross join srcs where source = 'regex' or (origin = 'band' and ((source = 'llm' and doc_id % 17 <> 0) or (source = 'manual' and doc_id % 10 = 0)))),
 prefs as (select factor, case when ord % 2 = 0 then 'regex' else 'llm' end preferred from factors)"""
 
 

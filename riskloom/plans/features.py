@@ -25,11 +25,14 @@ def tokens(D, keep: str = "") -> str:
 
 def fitted(D) -> str:
     """CTEs: terms of one and two tokens of labelled documents; df and idf of each fold's training documents."""
+    by_fold = ", ".join(f"count(case when o.fold = {k} then 1 end) d{k}, cast(sum(case when o.fold = {k} then t.c else 0 end) as bigint) s{k}" for k in range(5))
+    df, total = (" ".join(f"when {k} then {x}{k}" for k in range(5)) for x in "ds")
     return f"""{folds(D)}, own as (select doc_id, fold from folds where rep = 0),
 {tokens(D, 'where doc_id in (select doc_id from own)')}, pairs_ as (select doc_id, w, lead(w) over (partition by doc_id order by i) nxt from toks),
 tf as (select doc_id, term, count(*) c from (select doc_id, w term from pairs_ union all select doc_id, concat(w, ' ', nxt) from pairs_ where nxt is not null) z group by doc_id, term),
 five as (select * from (values (0), (1), (2), (3), (4)) as f(f)), sizes as (select f.f, count(*) n from five f join own o on o.fold <> f.f group by f.f),
-df as (select f.f, t.term, count(*) df, sum(t.c) total from tf t join own o on t.doc_id = o.doc_id join five f on f.f <> o.fold group by f.f, t.term),
+held as (select t.term, count(*) d, cast(sum(t.c) as bigint) s, {by_fold} from tf t join own o on t.doc_id = o.doc_id group by t.term having count(*) >= {LEAST}),
+df as (select f.f, term, d - case f.f {df} end df, s - case f.f {total} end total from held cross join five f),
 vocab as (select f, term, df, n from (select df.f, term, df, n, row_number() over (partition by df.f order by total desc, term) k from df join sizes on df.f = sizes.f where df >= {LEAST} and df <= {LARGEST} * n) z where k <= {VOCABULARY}),
 idf as (select f, term, ln((1e0 + n) / (1e0 + df)) + 1 idf from vocab)"""
 
@@ -40,6 +43,6 @@ SQL = {
     "tfidf_vocabulary": lambda D: f"with {fitted(D)} select cast(f as bigint) fold, term, round(idf, 9) idf from idf",
     "bigrams": lambda D: f"with {tokens(D)}, b as (select w, lead(w) over (partition by doc_id order by i) nxt from toks) select concat(w, ' ', nxt) bigram, count(*) n from b where nxt is not null group by concat(w, ' ', nxt)",
     "token_counts": lambda D: f"with {tokens(D)} select doc_id, count(*) tokens, count(distinct w) vocabulary from toks group by doc_id",
-    "top_terms": lambda D: f"""with {fitted(D)}, w as (select t.term, i.f, o.label, (1 + ln(cast(t.c as double))) * idf v from tf t join (select own.doc_id, own.fold, lab.label from own join lab on own.doc_id = lab.doc_id) o on t.doc_id = o.doc_id join idf i on i.term = t.term and i.f <> o.fold),
-m as (select label, term, round(sum(v) / 5, 9) mean, count(distinct f) folds from w group by label, term), k as (select *, row_number() over (partition by label order by mean desc, term) place from m) select label, term, mean, folds, cast(place as bigint) place from k where place <= 30""",
+    "top_terms": lambda D: f"""with {fitted(D)}, w as (select lab.label, t.term, own.fold, sum(1 + ln(cast(t.c as double))) a from tf t join own on t.doc_id = own.doc_id join lab on lab.doc_id = own.doc_id group by lab.label, t.term, own.fold),
+m as (select label, w.term, round(sum(a * idf) / 5, 9) mean, count(distinct f) folds from w join idf i on i.term = w.term and i.f <> w.fold group by label, w.term), k as (select *, row_number() over (partition by label order by mean desc, term) place from m) select label, term, mean, folds, cast(place as bigint) place from k where place <= 30""",
 }

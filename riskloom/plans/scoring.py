@@ -24,6 +24,13 @@ def band_rows() -> str:
     return ", ".join(f"('{f}', {p}, {number(lo)}, {li}, {number(hi)}, {hi_in})" for f, p, lo, li, hi, hi_in in BANDS)
 
 
+def banded(factor: str, v: str, sentinel: int | None = None) -> str:
+    """Points of a value by the factor's bands, in their order of values; -1 stands for a sentinel."""
+    rising = [b for b in BANDS if b[0] == factor]
+    steps = "".join(f" when {v} {'<=' if hi_in else '<'} {hi} then {p}" for _, p, _, _, hi, hi_in in rising[:-1])
+    return f"case{'' if sentinel is None else f' when {v} = -1 then {sentinel}'}{steps} else {rising[-1][1]} end"
+
+
 def documents(D) -> str:
     """CTEs li, docs: one row per document (order) with its ten factor values; -1 stands for a sentinel."""
     return f"""
@@ -50,11 +57,8 @@ vals as (select doc_id, programme, period, fin_form, ord, factor, case factor wh
     when 'idotartam' then idotartam when 'tam_tevekenyseg' then tam_tevekenyseg when 'egysz_elszam' then egysz_elszam else biztositek end v from docs cross join factors),
 banded as (select *, case when v is null then null
     when factor in ('fin_form', 'tam_tevekenyseg') then v when factor = 'konzorcium' then 3 * v when factor in ('egysz_elszam', 'biztositek') then 3 - 3 * v
-    when factor = 'tam_osszeg' then case when v <= 100000000 then 0 when v <= 300000000 then 1 when v <= 600000000 then 2 else 3 end
-    when factor = 'bead_napok' then case when v = -1 then 0 when v <= 7 then 3 when v <= 15 then 2 when v <= 30 then 1 else 0 end
-    when factor = 'max_tam_int' then case when v <= 30 then 0 when v <= 50 then 1 when v < 70 then 2 else 3 end
-    when factor = 'eloleg' then case when v <= 30 then 0 when v <= 50 then 1 when v <= 70 then 2 else 3 end
-    else case when v = -1 then 3 when v <= 12 then 0 when v <= 18 then 1 when v <= 24 then 2 else 3 end end band from vals),
+    when factor = 'tam_osszeg' then {banded('tam_osszeg', 'v')} when factor = 'bead_napok' then {banded('bead_napok', 'v', 0)} when factor = 'max_tam_int' then {banded('max_tam_int', 'v')}
+    when factor = 'eloleg' then {banded('eloleg', 'v')} else {banded('idotartam', 'v', 3)} end band from vals),
 pts as (select doc_id, programme, period, fin_form, ord, factor, v,
     cast(case when factor = 'max_tam_int' and fin_form = 'loan' then 0 when v is null and factor = 'tam_osszeg' and programme = 'BUILDING' then 1 when v is null and factor = 'tam_osszeg' and programme = 'MACHINERY' then 2 else band end as bigint) points,
     case when factor = 'max_tam_int' and fin_form = 'loan' then 'loan_rule' when v is null and factor = 'tam_osszeg' and programme in ('BUILDING', 'MACHINERY') then 'top_rule' when v is null then 'mean' else 'band' end origin from banded)"""
@@ -66,8 +70,12 @@ def totals(D) -> str:
     Only tam_osszeg and konzorcium can be missing, so a total is whole points plus means s1/n1, s2/n2."""
     return f"""{points(D)},
 means as (select factor, cast(sum(points) as bigint) s, count(*) n from pts where origin = 'band' group by factor),
-ab as (select max(case when factor = 'tam_osszeg' then s end) sa, max(case when factor = 'tam_osszeg' then n end) na, max(case when factor = 'konzorcium' then s end) sb, max(case when factor = 'konzorcium' then n end) nb from means),
-sums as (select doc_id, max(programme) programme, max(period) period, cast(sum(coalesce(points, 0)) as bigint) p, max(case when origin = 'mean' and factor = 'tam_osszeg' then 1 else 0 end) ma, max(case when origin = 'mean' and factor = 'konzorcium' then 1 else 0 end) mb, cast(sum(case when origin = 'band' then 1 else 0 end) as bigint) n_determined from pts group by doc_id),
+wide as (select doc_id, programme, period, fin_form, {banded('tam_osszeg', 'tam_osszeg')} pt, tam_osszeg, konzorcium,
+    case fin_form when 'grant' then 3 when 'conditional_grant' then 2 else 1 end + {banded('bead_napok', 'bead_napok', 0)} + case when fin_form = 'loan' then 0 else {banded('max_tam_int', 'max_tam_int')} end
+    + {banded('eloleg', 'eloleg')} + {banded('idotartam', 'idotartam', 3)} + tam_tevekenyseg + 3 - 3 * egysz_elszam + 3 - 3 * biztositek others from docs),
+ab as (select cast(sum(case when tam_osszeg is not null then pt end) as bigint) sa, count(tam_osszeg) na, cast(sum(3 * konzorcium) as bigint) sb, count(konzorcium) nb from wide),
+sums as (select doc_id, programme, period, cast(others + case when tam_osszeg is not null then pt when programme = 'BUILDING' then 1 when programme = 'MACHINERY' then 2 else 0 end + coalesce(3 * konzorcium, 0) as bigint) p, case when tam_osszeg is null and programme not in ('BUILDING', 'MACHINERY') then 1 else 0 end ma, case when konzorcium is null then 1 else 0 end mb,
+    cast(10 - case when fin_form = 'loan' then 1 else 0 end - case when tam_osszeg is null then 1 else 0 end - case when konzorcium is null then 1 else 0 end as bigint) n_determined from wide),
 totals as (select doc_id, programme, period, n_determined, cast(p as decimal(38,0)) * na * nb + ma * cast(sa as decimal(38,0)) * nb + mb * cast(sb as decimal(38,0)) * na num, cast(na as decimal(38,0)) * nb den from sums cross join ab)"""
 
 
