@@ -4,7 +4,7 @@ import uuid
 
 import public_tokenizers
 
-from riskloom.llm import decontaminate, digest, linededup, lm, packing, quality, repeats, secrets, simhash, toxicity
+from riskloom.llm import alignment, decontaminate, digest, linededup, lm, packing, quality, repeats, secrets, simhash, throttle, topk, toxicity
 from riskloom.llm.base import scratch_root, table
 
 
@@ -26,5 +26,8 @@ QUERIES = {
     "op8_toxicity": _on("documents", "labels")(toxicity.classify),
     "op9_repeats": _on("documents")(lambda d: repeats.remove(d).drop("kept")),
     "op10_lm": _on("documents")(lm.score),
+    "op11_topk": topk.nearest,
+    "op12_alignment": alignment.documents,
+    "op13_throttle": throttle.outcomes,
 }
-ORACLE = {"op3_line_dedup": linededup.ORACLE}
+ORACLE = {"op3_line_dedup": linededup.ORACLE, "op11_topk": topk.ORACLE}
