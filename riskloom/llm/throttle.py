@@ -34,6 +34,8 @@ OUTCOMES = "click_id long, client_id long, ts_us long, outcome string, batch int
 NONE = -(1 << 63)
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONF = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "true"}
+#: Every start opens stores of its own: they take no disk in advance, and those of ended starts are closed soon.
+_CONF |= {"spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.maintenanceInterval": "5s"}
 
 
 def micros(df: DataFrame, name: str):
