@@ -216,6 +216,7 @@ def test_throttle_of_one_click_and_of_none(spark):
 def test_penalty_lasts_until_a_click_is_affordable():
     accounts: dict = {}
     rows = np.array([[1, t, 0, i] for i, t in enumerate([0, 0, 0, C // 2, C - 1, C, C])], np.int64)
-    got = throttle.settle(rows, accounts, C, 2)
-    assert [r[4] for r in got] == [True, True, False, False, False, True, False]
-    assert [r[6:] for r in got if r[4] is False] == [(0, C)] * 3 + [(C, 2 * C)]
+    _, admitted, credit, start, end = throttle.settle(rows, accounts, C, 2)
+    assert admitted.tolist() == [True, True, False, False, False, True, False]
+    assert [*zip(start[~admitted].tolist(), end[~admitted].tolist())] == [(0, C)] * 3 + [(C, 2 * C)]
+    assert credit.tolist() == [C, 0, 0, C // 2, C - 1, 0, 0]
