@@ -68,16 +68,12 @@ b as (select *, max(case when ties > 1 then 1 else 0 end) over (partition by cal
 p as (select call, min(case when readable = 1 then k end) k from b group by call) select b.call, b.id, b.marker, b.bad unclear from b join p on b.call = p.call and b.k = p.k""".replace("cast(o_totalprice / 20000 as bigint)", "cast(floor(o_totalprice / 20000) as bigint)"),
     "fold_accents": lambda D: f"select doc_id, translate(lower(substr(text, 1, 1000000)), '{ACCENTED}', '{PLAIN}') folded from documents".replace("substr(text, 1, 1000000)", "text"),
     "document_types": lambda D: f"with {typed(D)} select doc_id, case when {D.like('name', NON_CALL)} then 'other' when name like '%termekleir%' then 'product_description' when name like '%felhiv%' then 'main_call' when title like '%termekleiras%' then 'product_description' when title like '%felhivas%' then 'main_call' else 'unknown' end kind from typed",
-    "page_furniture": lambda D: f"with {lines(D)}, e as (select doc_id, {D.swap('trim(line)', '[0-9]', '#')} k from lines where trim(line) <> ''), n as (select count(distinct doc_id) n from e) select k line_key, count(distinct doc_id) documents from e group by k having count(distinct doc_id) >= 2 and count(*) > 2",
     "tidy_whitespace": lambda D: f"with {blank_runs(D)} select doc_id, count(case when blank = 0 or coalesce(before, 1) = 0 then 1 end) kept, count(case when blank = 1 and coalesce(before, 1) = 1 then 1 end) dropped from k group by doc_id",
     "table_lines": lambda D: f"with {lines(D)} select doc_id, count(case when line like '%|%' then 1 end) table_lines, count(*) n, count(case when {D.like('line', '^[|][- |:]+[|]?$')} then 1 end) separators from lines group by doc_id",
     "text_warnings": lambda D: f"select doc_id, case when length(text) < 8000 then 1 else 0 end low_text, case when {D.like('text', '[#$%&*]{3}')} then 1 else 0 end suspect, cast(length(text) as bigint) characters from documents",
     "page_split": lambda D: f"with h as (select page_id, html from pages), p as (select page_id, i, part from h {D.each_at(D.split('html', '<p>'), 'part', 'i')}) select page_id, cast(i as bigint) page, trim({D.swap('part', '<[^>]*>', ' ')}) text from p",
     "html_plain_text": lambda D: f"select page_id, trim({D.swap(D.swap('html', '<[^>]*>', ' '), '[ ]+', ' ')}) plain from pages",
     "cells_on_one_line": lambda D: f"with {lines(D)} select doc_id, cast(i as bigint) line_no, case when ltrim(line) like '|%' then {D.swap('line', '<br */?>', ' ')} else line end line from lines where line like '%|%'",
-    "evidence_pages": lambda D: "select b.item_id, d.doc_id, cast(length(substr(d.text, 1, cast(strpos(d.text, b.text) - 1 as int))) / 3000 as bigint) + 1 page from benchmark b join documents d on contains(d.text, b.text)".replace("strpos(d.text, b.text)", "position(b.text in d.text)").replace("cast(length(substr(d.text, 1, cast(position(b.text in d.text) - 1 as int))) / 3000 as bigint) + 1", "cast(floor((position(b.text in d.text) - 1) / 3000) as bigint) + 1"),
-    "evidence_audit": lambda D: "with m as (select b.item_id, coalesce(h.n, 0) n from benchmark b left join (select q.item_id, count(*) n from documents d join benchmark q on contains(d.text, q.text) group by q.item_id) h on h.item_id = b.item_id) select case when n > 0 then 'found' else 'missing' end status, count(*) items, cast(sum(n) as bigint) hits from m group by 1",
-    "as_of_pages": lambda D: "with p as (select user_id, event_id, ts, case when event_type = 'signup' then event_id end mark from events) select user_id, event_id, max(mark) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) last_signup from p",
     "money_values": lambda D: f"""with m as (select o_orderkey, {MONEY} t from orders), x as (select o_orderkey, t, {D.first('t', '^([0-9]+)', 1)} whole, {D.first('t', ',([0-9]+)', 1)} part from m)
 select o_orderkey, cast(cast(concat(whole, '.', case when part = '' then '0' else part end) as decimal(20,4)) * case when t like '%millió%' then 1000000 when t like '%Mrd%' then 1000000000 when t like '%ezer%' then 1000 else 1 end as bigint) amount from x""",
     "date_values": lambda D: f"with m as (select o_orderkey, concat(cast(year(o_orderdate) as varchar(5)), '. ', lpad(cast(month(o_orderdate) as varchar(5)), 2, '0'), '. ', lpad(cast(o_orderkey % 33 as varchar(5)), 2, '0'), '.') t from orders), x as (select o_orderkey, t, {D.swap('t', '[. ]+', '-')} d from m) select o_orderkey, cast(try_cast(substr(d, 1, 10) as date) as varchar(10)) day from x".replace("as varchar(10)) day", "as varchar(10)) iso_day"),
