@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from riskloom.functions.cleaning import converted
 from riskloom.functions.evidence import found_in
-from riskloom.functions.rules import rule_findings
 from riskloom.sources.tables import CATALOGUE, catalogue, table
 
 #: Accented Hungarian and western letters and their plain forms (fixed values).
@@ -105,7 +104,6 @@ def paged(documents, lines: int = 40):
 ORACLE = {"catalogue": CATALOGUE}
 QUERIES = {
     "catalogue": catalogue,
-    "rule_extraction": lambda spark, sf_dir: rule_findings(table(spark, sf_dir, "documents")),
     "clean_documents": lambda spark, sf_dir: converted(paged(table(spark, sf_dir, "documents"))),
     "quote_pages": lambda spark, sf_dir: found_in(converted(paged(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark")),
     "cv_logistic_regression": _learners("cross_validated_logreg"),

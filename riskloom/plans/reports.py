@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from riskloom.functions.dialect import Duck, Spark
+from riskloom.operators.statistics import mcnemar_column, t_column
 from riskloom.plans.agreement import cells, consolidated, sources, tallies
 from riskloom.plans.models import CLASS, fold_scores, folds, predictions
 from riskloom.plans.scoring import FACTORS, points, ranked, totals
+from riskloom.sources.tables import views
 
 CLASSES = ("low", "medium", "high")
 #: Significance level, practical margin, and the family compared with TF-IDF.
@@ -172,9 +177,6 @@ SQL = {
     "corrected_t": lambda D: f"with {against_tfidf(D)} select model, n, round(mean, 9) mean, round(sd, 9) sd, round(t, 6) t, round(p, 8) p, round(ci_low, 9) ci_low, round(ci_high, 9) ci_high from holm_",
     "holm_stepdown": lambda D: f"with {against_tfidf(D)} select model, round(p, 8) p, round(p_holm, 8) p_holm from holm_",
     "outcome_classes": lambda D: f"with {against_tfidf(D)} select model, round(mean, 9) mean, round(ci_low, 9) ci_low, round(ci_high, 9) ci_high, round(p_holm, 8) p_holm, outcome, note from outc",
-    "mcnemar_exact": lambda D: f"""with {predictions(D)}, bc as (select x.model, count(case when x.predicted <> x.label and y.predicted = y.label then 1 end) b, count(case when x.predicted = x.label and y.predicted <> y.label then 1 end) c from pred x join pred y on x.doc_id = y.doc_id and x.rep = y.rep and x.rep = 0 and y.model = 'tfidf' and x.model <> 'tfidf' group by x.model),
-num as (select id i from ({'select explode(sequence(0, 5000)) id' if D.idiv == 'div' else 'select unnest(generate_series(0, 5000)) id'}) z), lf as (select i, sum(case when i = 0 then 0e0 else ln(cast(greatest(i, 1) as double)) end) over (order by i) v from num),
-term as (select bc.model, b, c, sum(exp(n.v - k.v - r.v - (b + c) * ln(2e0))) s from bc join lf n on n.i = b + c join lf k on k.i <= least(b, c) join lf r on r.i = b + c - k.i group by bc.model, b, c) select model, b, c, round(least(1e0, 2 * s), 8) p from term""",
     # joins and checks
     "predictions_of_complete_runs": lambda D: f"with {predictions(D)}, {run_table(D)} select model, rep, cast(fold as bigint) fold, doc_id, predicted from pred join runs_ using (model, rep, fold, mno) where status = 'complete'",
     "features_without_vector": lambda D: "with feat as (select vec_id doc_id, concat('key-', cast(vec_id % 97 as varchar(9))) cache_key from embeddings), cache as (select distinct concat('key-', cast(vec_id % 97 as varchar(9))) cache_key from embeddings where vec_id % 97 < 90) select f.doc_id, f.cache_key, case when c.cache_key is null then 'missing' else 'ok' end state from feat f left join cache c on f.cache_key = c.cache_key",
@@ -229,3 +231,33 @@ r as (select *, round(f1, 12) key_ from s) select model, round(f1, 9) f1, round(
     "cell_details": lambda D: f"with {cells(D)} select source, doc_id, factor, subset, gold, points, category from cells",
     "run_provenance": lambda D: f"with {predictions(D)}, {run_table(D)}, need as (select distinct model, rep from runs_) select n.model, n.rep, count(case when r.status = 'complete' then 1 end) complete, count(case when r.status = 'failed' then 1 end) failed, case when count(case when r.status = 'complete' then 1 end) = 5 then 'whole' else 'missing parts' end chain from need n left join runs_ r on n.model = r.model and n.rep = r.rep group by n.model, n.rep",
 }
+
+
+def discordant(D) -> str:
+    """CTE bc: by model and repeat, documents that only tfidf (b) or only the model (c) has right."""
+    return f"""{predictions(D)}, bc as (select x.model, x.rep, count(case when x.predicted <> x.label and y.predicted = y.label then 1 end) b, count(case when x.predicted = x.label and y.predicted <> y.label then 1 end) c from pred x join pred y on x.doc_id = y.doc_id and x.rep = y.rep and y.model = 'tfidf' and x.model <> 'tfidf' group by x.model, x.rep)"""
+
+
+def fold_differences(D) -> str:
+    """CTE td: by model and repeat, the paired t of its folds' F1 against tfidf's."""
+    return f"""{fold_scores(D)}, dd as (select x.model, x.rep, x.f1 - y.f1 d from f x join f y on y.model = 'tfidf' and x.model <> 'tfidf' and x.rep = y.rep and x.fold = y.fold),
+td as (select model, rep, cast(count(*) - 1 as int) df, avg(d) / (stddev_samp(d) / sqrt(count(*))) t from dd group by model, rep)"""
+
+
+def _over(text: str, finish):
+    def run(spark, sf_dir):
+        views(spark, sf_dir)
+        return finish(spark.sql(text))
+
+    return run
+
+
+QUERIES = {
+    "mcnemar_exact": _over(f"with {discordant(Spark)} select * from bc", lambda df: df.select("model", "rep", "b", "c", F.round(mcnemar_column(F.col("b"), F.col("c")), 6).alias("p"))),
+    "fold_t": _over(f"with {fold_differences(Spark)} select * from td", lambda df: df.select("model", "rep", "df", F.round("t", 6).alias("t"), F.round(t_column(F.col("t"), F.col("df")), 6).alias("p"))),
+}
+# DuckDB, another way: the tail's terms one by one; with 4 degrees of freedom t has a closed form.
+ORACLE = {
+    "mcnemar_exact": f"with {discordant(Duck)}, n as (select *, unnest(generate_series(0, least(b, c))) k from bc) select model, rep, b, c, round(least(1e0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2e0)))), 6) p from n group by model, rep, b, c",
+    "fold_t": f"with {fold_differences(Duck)}, s as (select *, abs(t) / sqrt(t * t + 4) x from td where df = 4) select model, rep, df, round(t, 6) t, round(1 - x * (1 + (1 - x * x) / 2), 6) p from s",
+}

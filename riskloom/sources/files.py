@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.rules import FACTORS
 
 # Folder of an archive, name column, mark of a cell without points, and the points allowed.
 FOLDER, NAME, NOT_SCORED = "data/raw_pdfs/", "Felhívás", "-"
+FACTORS = ("fin_form", "tam_osszeg", "konzorcium", "bead_napok", "max_tam_int", "eloleg", "idotartam", "tam_tevekenyseg", "egysz_elszam", "biztositek")
 ALLOWED = {f: (0, 1, 2, 3) for f in FACTORS} | {"fin_form": (1, 2, 3), "konzorcium": (0, 3), "egysz_elszam": (0, 3), "biztositek": (0, 3), "tam_tevekenyseg": (0, 2, 3)}
 
 
@@ -178,7 +178,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def cached(wanted: DataFrame, path: str, keys: list[str], make) -> DataFrame:
     """Rows of `wanted` (its keys) out of a Parquet cache; `make` computes those it lacks, which are appended.
-    The first writer of a key wins."""
+    A key that is there is never written again; of two writers at once either's row is taken."""
     spark = wanted.sparkSession
     asked = wanted.dropDuplicates(keys)
     todo = asked.join(spark.read.parquet(path), keys, "left_anti") if exists(spark, path) else asked

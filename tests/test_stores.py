@@ -1,4 +1,4 @@
-"""Sources, sinks, run control and recorded responses, by file round trips."""
+"""Sources, sinks, run control, by file round trips."""
 
 import json
 import sqlite3
@@ -6,10 +6,9 @@ import zipfile
 
 import pytest
 
-from riskloom.functions import responses
-from riskloom.functions.rules import FACTORS
 from riskloom.operators.runs import RunError, Runs, estimate, one_source, preferences_text, required, run_all
 from riskloom.sources import files
+from riskloom.sources.files import FACTORS
 
 
 def test_scrape_log_and_archive(spark, tmp_path):
@@ -146,44 +145,3 @@ def test_small_helpers(spark):
     required(obs.limit(0), "none", ["source"])
     with pytest.raises(RunError, match="regex"):
         required(obs, "too many", ["source"])
-
-
-def answer(**values):
-    said = {f: {"value": None, "evidence": ""} for f in FACTORS} | {f: {"value": v, "evidence": e} for f, (v, e) in values.items()}
-    return {"stop_reason": "end_turn", "content": [{"type": "text", "text": json.dumps(said)}], "usage": {"input_tokens": 10}}
-
-
-def test_responses(spark):
-    assert responses.parsed(answer(eloleg=(50, "x")))["eloleg"]["value"] == 50
-    for bad in ({"stop_reason": "refusal"}, {"stop_reason": "max_tokens"}, {"content": []}, {"content": [{"type": "text", "text": "{"}]}, {"content": [{"type": "text", "text": "{}"}]}):
-        with pytest.raises(responses.Unusable):
-            responses.parsed(bad)
-    assert set(responses.answer_schema()["properties"]) == set(FACTORS) and responses.request("m", "p", "t", 5, 0.0)["extra_body"] == {"temperature": 0.0}
-    text = "<!-- page 1 -->\naz előleg 50%\n\n<!-- page 2 -->\nhat hónap\n"
-    one = lambda doc, part, parts, attempt, r: (doc, part, parts, attempt, json.dumps(r))
-    stored = [
-        one(1, 1, 1, 1, {"stop_reason": "refusal"}),
-        one(1, 1, 1, 2, answer(eloleg=(50, "előleg 50%"), idotartam=(6, "nincs benne"), max_tam_int=(200, ""), tam_tevekenyseg=([], ""))),
-        one(2, 1, 2, 1, answer(eloleg=(30, "az előleg"), fin_form=("grant", ""), konzorcium=(0, ""), bead_napok=("keret_kimerulesig", ""))),
-        one(2, 2, 2, 1, answer(eloleg=(50, "hat hónap"), fin_form=("conditional_grant", ""), konzorcium=(1, ""), bead_napok=(9, ""))),
-        one(3, 1, 2, 1, answer()),
-        one(4, 1, 1, 1, {"stop_reason": "max_tokens"}),
-    ]
-    got = responses.from_responses(spark.createDataFrame(stored, "doc_id long, part int, parts int, attempt int, response string"), spark.createDataFrame([(i, text) for i in range(1, 5)], "doc_id long, markdown string")).collect()
-    at = {(r["doc_id"], r["factor"]): r for r in got}
-    assert len(got) == 40
-    assert (at[1, "eloleg"]["value"], at[1, "eloleg"]["page"], at[1, "eloleg"]["warnings"]) == ("50", 1, [])
-    assert at[1, "idotartam"]["warnings"] == ["evidence_not_in_text"] and at[1, "max_tam_int"]["status"] == "error" and at[1, "tam_tevekenyseg"]["value"] == "[]"
-    assert (at[2, "eloleg"]["value"], at[2, "eloleg"]["page"], at[2, "fin_form"]["value"], at[2, "bead_napok"]["value"]) == ("50", 2, '"conditional_grant"', "9")
-    assert at[2, "konzorcium"]["status"] == "ambiguous" and at[2, "biztositek"]["status"] == "not_found"
-    assert at[3, "eloleg"]["warnings"] == ["no complete answer"] and "max_tokens" in at[4, "eloleg"]["warnings"][0]
-    assert responses.cost({"input_tokens": 10, "output_tokens": 2}, {"input_tokens": 1, "output_tokens": 5}, batch=True) == 20 / 1e6 / 2
-
-
-def test_parts():
-    text = "".join(f"<!-- page {i} -->\n{'x' * 20}\n" for i in range(1, 6))
-    assert responses.parts_of(text, len, 10_000) == [text]
-    got = responses.parts_of(text, len, 90)
-    assert "".join(got) == text and [len(p) <= 90 for p in got] == [True] * 3
-    with pytest.raises(responses.Unusable, match="part 1"):
-        responses.parts_of(text, len, 30)

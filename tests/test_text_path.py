@@ -4,8 +4,7 @@ from datetime import date
 
 import pytest
 
-from riskloom.functions import cleaning, evidence, rules
-from riskloom.functions.reading import MONEY, Reading, amount, days
+from riskloom.functions import cleaning, evidence
 
 
 def paged(*pages):
@@ -65,102 +64,3 @@ def test_quotes_in_documents(spark):
     for block in (1, 100):
         assert sorted(map(tuple, evidence.found_in(docs, quotes, block).collect())) == [(1, 7, 2), (1, 10, 1)]
     assert evidence.found_in(docs, quotes.limit(0)).count() == 0
-
-
-def test_reading_places():
-    text = "# Cím\nElső mondat. Második mondat? Harmadik.\n| a | b |\n| c |\nutolsó"
-    r = Reading(text)
-    at = text.index("Második")
-    assert text[slice(*r.sentence(at + 3))] == "Második mondat?"
-    assert [text[a:b] for a, b in r.tables()] == ["| a | b |\n| c |\n"]
-    assert r.line(at) == (6, text.index("\n", 6)) and r.page(3) is None
-    assert Reading(paged("a", "bcd")).page(paged("a", "bcd").index("bcd")) == 2
-    assert r.quote(at, at + 7) == ("Második mondat?", at)
-    assert [m[0] for m in Reading("előleg ........ 23\nelőleg").anchors(rules.phrase("előleg"))] == ["előleg"]
-
-
-def test_money_and_days():
-    cases = {"629 300 000 Ft": 629_300_000, "629.300.000 Ft": 629_300_000, "50 000 000,-Ft": 50_000_000, "49,29 millió forint": 49_290_000, "1,2 milliárd Ft": 1_200_000_000, "8,24 Mrd Ft": 8_240_000_000, "500 ezer forint": 500_000}
-    assert {k: amount(MONEY.search(k)) for k in cases} == cases
-    assert [d for d, _, _ in days("2021. július 12., 2025.01.31, 2023. 09. 25., 2017. év február hó 27. naptól, 2023.02.30")] == [date(2021, 7, 12), date(2025, 1, 31), date(2023, 9, 25), date(2017, 2, 27)]
-    assert [rules.months_between(*x) for x in ((date(2027, 12, 31), date(2029, 12, 31)), (date(2017, 4, 21), date(2019, 6, 30)), (date(2024, 1, 31), date(2024, 3, 1)))] == [24, 26.3, 1]
-
-
-FORM, MUCH, WHEN, ADV, LONG = "A támogatás visszatérítendő vagy vissza nem térítendő?", "Mennyi támogatást lehet igényelni?", "Mikor lehet benyújtani a támogatási kérelmet?", "Mennyi előleg igényelhető?", "Mennyi a projekt végrehajtására rendelkezésre álló időtartam?"
-BUDGET = "A támogatásra rendelkezésre álló tervezett keretösszeg 2 000 000 000 Ft.\n\nAz igényelhető vissza nem térítendő támogatás összege egységköltség alapján alakul."
-LOAN = "## Kölcsön típusa\nÉven túli Kölcsön.\n\n## Igénybevétel\n2024. december 05-től 2027. június 30-ig lehet kölcsönkérelmet benyújtani. Utoljára 2029. szeptember 30-án lehet kifizetést teljesíteni."
-CASES = [
-    ("fin_form", asked(FORM, "A támogatás vissza nem térítendő támogatásnak minősül."), "grant"),
-    ("fin_form", "### A támogatás formája\nvissza nem térítendőnek minősül.\n\nfeltételesen vissza nem térítendő támogatásnak minősül.", "conditional_grant"),
-    ("fin_form", LOAN, "loan"),
-    ("fin_form", "nem használható vissza nem térítendő támogatásra", "not_found"),
-    ("fin_form", "### A támogatás formája\nA támogatás visszatérítendő.\n\n### A támogatás jellege\nvissza nem térítendő", "ambiguous"),
-    ("tam_osszeg", asked(MUCH, "minimum 2 500 000 Ft – maximum 6 000 000 Ft"), 6_000_000),
-    ("tam_osszeg", "Az igényelhető támogatás összege, a rendelkezésre álló keretösszeg 9 600 000 000 Ft terhére, legfeljebb 50 000 000 Ft.", 50_000_000),
-    ("tam_osszeg", asked(MUCH, "lakásonként legfeljebb 150 000 000 Ft, projektenként legfeljebb 90 000 000 Ft."), 90_000_000),
-    ("tam_osszeg", "Az igényelhető támogatási előleg mértéke legfeljebb 100%, maximum 175 670 000 000 Ft.", "not_found"),
-    ("tam_osszeg", "## 4. Kölcsön összege\nminimum 20 millió Forint – maximum 200 millió Forint", 200_000_000),
-    ("tam_osszeg", "|3.3. Mennyi támogatást lehet igényelni? ............ 23|\n\nA keretösszeg 5 000 000 000 Ft.", "not_found"),
-    ("tam_osszeg", "|Várhatóan hány projekt kap támogatást?|40 db|\n\n" + BUDGET, 50_000_000),
-    ("tam_osszeg", "|Várhatóan hány projekt kap támogatást?|minimum 10 db – maximum 40 db|\n\n" + BUDGET, "ambiguous"),
-    ("konzorcium", "Kérelem benyújtására konzorciumi formában nincs lehetőség.", 0),
-    ("konzorcium", "A kérelem benyújtására konzorciumi formában is van lehetőség.", 1),
-    ("konzorcium", "A konzorciumi partnerként nyújthatnak be kérelmet.\n\nKérelem benyújtására konzorciumi formában nincs lehetőség.", 0),
-    ("konzorcium", "|**Konzorcium támogatható?**|Nem|", 0),
-    ("konzorcium", "Ön és az esetleges konzorciumi partnerei adatai, benyújtás esetén.", "not_found"),
-    ("konzorcium", "A konzorciumvezető felel.", 1),
-    ("bead_napok", asked(WHEN, "2023.10.20. – 2023.11.10."), 21),
-    ("bead_napok", asked(WHEN, "Első: 2026. január 13. – 2026. február 13. Második: 2026. április 14. – 2026. április 24."), 10),
-    ("bead_napok", "## " + WHEN + "\n- 2025. augusztus 10. 00 órától 2025. augusztus 31. 23 óra 59 percig\n- 2025. szeptember 1. 00 órától 2025. szeptember 30. percig", 21),
-    ("bead_napok", "## " + WHEN + "\nA kérelmek 2024.07.26-tól a keret kimerüléséig nyújthatók be.", "keret_kimerulesig"),
-    ("bead_napok", "## " + WHEN + "\nA kérelmek 2024.07.26-tól 2024.08.26-ig, legfeljebb a keret kimerüléséig.", 31),
-    ("max_tam_int", "A támogatás maximális mértéke a költségek **90%** -a.", 90),
-    ("max_tam_int", "|Régió|Támogatási intenzitás|\n|---|---|\n|Észak|50%|\n|Dél|70%|", 70),
-    ("max_tam_int", "|Kell-e önerő a projekthez?|Igen, 10% mértékben|", 90),
-    ("max_tam_int", "Az előleg mértéke a támogatás összegének legfeljebb 25%-a.", "not_found"),
-    ("eloleg", asked(ADV, "Önkormányzatoknak 100 %-os, másoknak 25%."), 100),
-    ("eloleg", LOAN, 100),
-    ("eloleg", asked(ADV, "előleg igénylésére nincs mód."), 0),
-    ("eloleg", "### Előleg igénylése\nA mértéket a 272/2014. (XI.5.) Korm. rendelet 116. § szerint kell megadni.", "ambiguous"),
-    ("eloleg", "A támogatás legfeljebb 50%-ának megfelelő összegű támogatási előleget kap.", 50),
-    ("idotartam", asked(LONG, "A megkezdésétől legfeljebb 12 hónap, különben 18 hónap."), 18),
-    ("idotartam", "## " + WHEN + "\n2023. szeptember 1. – 2023. november 10.\n" + asked(LONG, "A határidő legkésőbb 2027.12.31."), 49.7),
-    ("idotartam", asked(LONG, "A határidő legkésőbb 2027.12.31."), "not_found"),
-    ("idotartam", "## A rendelkezésre álló időtartam\nA rendelkezésre álló időtartam itt nem értelmezett.", "maximalis"),
-    ("idotartam", "## " + WHEN + "\n2023.03.01. – 2029.12.31.\n" + asked(LONG, "legkésőbb 2029.12.31."), "maximalis"),
-    ("idotartam", LOAN, 27),
-    ("idotartam", "A projekt fizikai befejezésére 24 hónap áll rendelkezésre, amely 36 hónappal hosszabbítható.", 24),
-    ("tam_tevekenyseg", "## 2.1.1. Önállóan támogatható tevékenységek\n- Az épület felújítása.", ["infrastruktura_ingatlan"]),
-    ("tam_tevekenyseg", "|Milyen tevékenységek támogathatóak?|K+F tevékenység; laboratórium építése|\n|Mikor?|2026|", ["kutatas_fejlesztes", "infrastruktura_ingatlan"]),
-    ("tam_tevekenyseg", "### 3.1.1. Önállóan támogatható tevékenységek\n- Képzés\n### 3.2. Elvárások\n- Az épület felújítása", ["egyeb"]),
-    ("tam_tevekenyseg", "Az épület felújítása a projekt része.", "not_found"),
-    ("egysz_elszam", "Százalékos átalányalapú finanszírozás", 1),
-    ("egysz_elszam", "Egységköltséggel is lehet.\n\n**Egyszerűsített elszámolásra nincs lehetőség.**", 0),
-    ("egysz_elszam", "Számlákkal kell igazolni.", "not_found"),
-    ("biztositek", "Előleg esetén kell az előleggel megegyező összegű biztosítékot nyújtani.", 1),
-    ("biztositek", "A részleteket, a biztosíték elvárásait az ”ÁÚF 21-27” 6. fejezete tartalmazza.", 0),
-    ("biztositek", "Ha a biztosítéknyújtás kötelező (bankgarancia), költsége elszámolható.", 0),
-    ("biztositek", "Nem említi.", 0),
-]
-
-
-@pytest.mark.parametrize("factor, text, want", CASES)
-def test_rules(factor, text, want):
-    got = rules.extract(paged(text), {factor: rules.RULES[factor]})[factor]
-    assert (got["value"] if got["status"] == "found" else got["status"]) == want
-
-
-def test_rule_rows(spark):
-    docs = spark.createDataFrame([(1, paged(asked(WHEN, "2023.10.20. – 2023.11.10."))), (2, None)], "doc_id long, text string")
-    rows = rules.rule_findings(docs, rules={**rules.RULES, "broken": lambda r: 1 / 0}).collect()
-    got = {(r["doc_id"], r["factor"]): r for r in rows}
-    assert len(rows) == 22 and got[1, "broken"]["status"] == "error"
-    days_ = got[1, "bead_napok"]
-    assert (days_["value"], days_["page"], days_["warnings"]) == ("21", 1, []) and "2023.11.10." in days_["evidence"]
-    assert got[2, "biztositek"]["value"] == "0" and got[2, "fin_form"]["status"] == "not_found"
-
-
-def test_domains():
-    bad = {"fin_form": "gift", "konzorcium": True, "bead_napok": 1.5, "tam_osszeg": -1, "max_tam_int": 101, "eloleg": float("nan"), "idotartam": 0, "tam_tevekenyseg": []}
-    good = {"fin_form": "loan", "konzorcium": 1, "bead_napok": rules.UNTIL_FUNDS, "tam_osszeg": 0.5, "max_tam_int": 100, "eloleg": 0, "idotartam": rules.LONGEST, "tam_tevekenyseg": ["egyeb"]}
-    assert all(rules.outside(k, v) for k, v in bad.items()) and not any(rules.outside(k, v) for k, v in good.items())
