@@ -38,6 +38,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a bounded width that may be broadcast.
+FEW = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast where its rows, which are counted, are few; as it is beyond."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def normalised(text: Column) -> Column:
     """Without emphasis, table pipes and headings as blanks, one blank between words, lower case."""
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[*_`]", ""), r"[|#]", " "), WHITE + "+", " ")))
@@ -106,6 +115,9 @@ def search(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     rarest = ranked.groupBy("quote", "shortened", "pieces").agg(F.min_by(F.struct("gram", "inside", "first", "n"), F.struct("n", "inside")).alias("s"))
     rarest = rarest.where("s.n > 0").select("quote", "shortened", "pieces", F.col("s.gram").alias("gram"), F.col("s.inside").alias("inside"), F.col("s.first").alias("first"))
     candidates = hits.join(rarest, "gram").select("key", "quote", "shortened", "pieces", "first", (F.col("at") - F.col("inside")).alias("place")).where("place >= 0").distinct()
+    # only texts with a candidate are normalised again and moved
+    keys = small(kept(candidates.select(F.col("key").alias("_met")).distinct()))
+    texts = worded(documents.join(keys, F.col("doc_id").eqNullSafe(F.col("_met")), "left_semi"))
     met = candidates.join(texts.withColumnRenamed("key", "own"), F.col("key").eqNullSafe(F.col("own")))
     n = F.size("first")
     reach = n + F.aggregate(F.slice("pieces", 2, 1 << 30), F.lit(0), lambda s, p: s + F.length(p) + MOST_SKIPPED + 2)  # words that the pieces can span
