@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.evidence import WHITE
+from riskloom.operators.evidence import WHITE, kept, small
 
 # Lines looked at on each edge of a page, share of the pages, page numbers.
 EDGE, SHARE = 3, 0.3
@@ -17,37 +17,36 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, _ENDS, "")
 
 
-def edges(pages: DataFrame) -> DataFrame:
-    """doc, page, at (line, from 0), line: the first and last EDGE lines of each page that aren't empty or of a table."""
-    lines = pages.select("doc", "page", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), stripped(x).alias("line"))), lambda s: (s["line"] != "") & ~F.startswith(s["line"], F.lit("|"))).alias("held"))
-    both = F.array_distinct(F.concat(F.slice("held", 1, EDGE), F.slice(F.reverse("held"), 1, EDGE)))
-    return lines.select("doc", "page", F.explode(both).alias("e")).select("doc", "page", "e.at", "e.line")
+def edges(lines: Column) -> Column:
+    """(at, line) of the first and last EDGE lines, from 0, that aren't empty or of a table."""
+    held = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), stripped(x).alias("line"))), lambda s: (s["line"] != "") & ~F.startswith(s["line"], F.lit("|")))
+    return F.array_distinct(F.concat(F.slice(held, 1, EDGE), F.slice(F.reverse(held), 1, EDGE)))
 
 
 def key(line: Column) -> Column:
-    return F.regexp_replace(line, r"\p{Nd}", "#")
+    """What tells lines apart: digits count alike; the MD5 stands for the text, so that counts move little."""
+    return F.md5(F.regexp_replace(line, r"\p{Nd}", "#"))
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """doc, key, n: edge-line keys (digits count alike) of at least two pages and over SHARE of a document's."""
+    """doc and keys: edge-line keys of at least two pages and over SHARE of a document's, 6 / SHARE of them at most.
+
+    pages: doc, edge. Counts are summed where the pages are before they move."""
     total = pages.groupBy(F.col("doc").alias("d")).agg(F.count(F.lit(1)).alias("pages"))
-    counted = edges(pages).select("doc", "page", key(F.col("line")).alias("key")).distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(total, F.col("doc").eqNullSafe(F.col("d"))).where((F.col("n") >= 2) & (F.col("n") > SHARE * F.col("pages"))).select("doc", "key", "n")
+    counted = pages.select("doc", F.explode(F.array_distinct(F.transform("edge", lambda e: key(e["line"])))).alias("key")).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    met = counted.join(total, F.col("doc").eqNullSafe(F.col("d"))).where(F.col("n") > SHARE * F.col("pages"))
+    return met.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
 
 def without_furniture(documents: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
     """doc_id, page, text, n_lines, n_removed: pages without furniture and page numbers on their edges.
 
-    One row a page: an id, a page number of its own within the document, and the text. A null text is empty; a null
-    id is a document of its own; repeated rows of a page count once as evidence and are each cleaned."""
-    pages = documents.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    once = pages.dropDuplicates(["doc", "page"])
-    found = furniture(once).select(F.col("doc").alias("d"), F.col("key").alias("k"))
-    # on the edges, what is neither furniture nor a page number stays
-    there = edges(pages).distinct()
-    stays = there.join(found, F.col("doc").eqNullSafe(F.col("d")) & (key(F.col("line")) == F.col("k")), "left_anti").where(~F.col("line").rlike(PAGE_NUMBER))
-    gone = there.select("doc", "page", "at").exceptAll(stays.select("doc", "page", "at")).groupBy(F.col("doc").alias("d"), F.col("page").alias("p")).agg(F.collect_set("at").alias("gone"))
-    met = pages.join(gone, F.col("doc").eqNullSafe(F.col("d")) & F.col("page").eqNullSafe(F.col("p")), "left")
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)))
+    One row a page: an id, a page number, and the text. A null text is empty; a null id is a document of its own;
+    repeated rows are pages of their own. Pages stay where they are unless over FEW documents have furniture."""
+    pages = documents.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).withColumn("edge", edges(F.col("lines")))
+    found = small(kept(furniture(pages).select(F.col("doc").alias("d"), "keys")))
+    met = pages.join(found, F.col("doc").eqNullSafe(F.col("d")), "left")
+    gone = F.transform(F.filter("edge", lambda e: F.coalesce(F.array_contains(F.col("keys"), key(e["line"])), F.lit(False)) | e["line"].rlike(PAGE_NUMBER)), lambda e: e["at"])
+    left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
     n = F.size("lines").cast("long")
-    return met.select(F.col("doc").alias("doc_id"), "page", F.array_join(left, "\n").alias("text"), n.alias("n_lines"), (n - F.size(left)).alias("n_removed"))
+    return met.withColumn("gone", gone).select(F.col("doc").alias("doc_id"), "page", F.array_join(left, "\n").alias("text"), n.alias("n_lines"), (n - F.size(left)).alias("n_removed"))
