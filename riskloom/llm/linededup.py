@@ -47,7 +47,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINE
     pre = "_ld_"
     while any(n.startswith(pre) for n in names):
         pre = "_" + pre
-    k, t, at, rep = (pre + x for x in ("key", "text", "at", "repeats"))
+    k, t, at, rep, mk, mt = (pre + x for x in ("key", "text", "at", "repeats", "marked_key", "marked_text"))
     own = docs.withColumns({k: F.col("doc_id"), t: F.xxhash64(F.col("text"))})
     base = docs.where(F.col("text").isNotNull() & F.col("text").contains("\n")).select(F.col("doc_id").alias(k), F.xxhash64("text").alias(t), "text")
     piece = base.select(k, t, F.posexplode(chunk_array(F.col("text"), divisor)).alias("pos", "c"))
@@ -56,15 +56,15 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINE
     place = F.struct(k, t, "pos")
     repeated = keys.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
     marked = keys.join(repeated, "hash").groupBy(k, t).agg(F.collect_set(F.struct("pos", "hash", (place == F.col("first")).alias("is_first"))).alias(rep))
-    marked = saved(marked, "line-repeats").withColumnsRenamed({k: "mk", t: "mt"})
+    marked = saved(marked, "line-repeats").withColumnsRenamed({k: mk, t: mt})
     same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
-    held = possibly_in(base, [k, t], marked, ["mk", "mt"]).join(marked, same((k, t), ("mk", "mt")))  # rows alike do no harm below
+    held = possibly_in(base, [k, t], marked, [mk, mt]).join(marked, same((k, t), (mk, mt)))  # rows alike do no harm below
     held = held.select(k, t, F.col(rep), F.transform(chunk_array(F.col("text"), divisor), lambda c: c["chunk"]).alias("all"))
     texts = held.select(k, t, F.explode(F.transform(rep, lambda r: F.struct(r["pos"].alias("pos"), r["hash"].alias("hash"), r["is_first"].alias("is_first"), F.get(F.col("all"), r["pos"]).alias("chunk")))).alias("r")).select(k, t, "r.*")
     texts = saved(texts, "line-texts")
     firsts = texts.where("is_first").groupBy("hash").agg(F.min("chunk").alias("kept"))
-    gone = texts.where(~F.col("is_first")).join(firsts, "hash").where("chunk = kept").groupBy(k, t).agg(F.sort_array(F.collect_set("pos")).alias(at)).withColumnsRenamed({k: "mk", t: "mt"})
-    out = own.join(gone, same((k, t), ("mk", "mt")), "left")
+    gone = texts.where(~F.col("is_first")).join(firsts, "hash").where("chunk = kept").groupBy(k, t).agg(F.sort_array(F.collect_set("pos")).alias(at)).withColumnsRenamed({k: mk, t: mt})
+    out = own.join(gone, same((k, t), (mk, mt)), "left")
     chunks = chunk_array(F.when(F.col(at).isNotNull(), F.col("text")), divisor)
     left = F.array_join(F.transform(F.filter(chunks, lambda c, i: ~F.array_contains(F.col(at), i)), lambda c: c["chunk"]), "\n")
     dropped = F.aggregate(F.filter(chunks, lambda c, i: F.array_contains(F.col(at), i)), F.lit(0), lambda a, c: a + c["n"])

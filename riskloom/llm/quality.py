@@ -64,10 +64,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learns, most: int,
 
 
 def bounded(docs: DataFrame, marks: DataFrame, most: int, largest: int) -> DataFrame:
+    """The window that adds up bytes holds ids and lengths of at most `most` rows; only the texts that fit are fetched."""
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = text_or_empty(docs).join(F.broadcast(marks), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    room = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` rows
-    return rows.withColumn("room", F.sum(F.octet_length("text")).over(room)).where((F.col("room") <= largest) | (F.col("room") == F.octet_length("text"))).drop("room").repartition(16, "doc_id")
+    texts = text_or_empty(docs)
+    own = F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    sizes = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "label", own.alias("own")).groupBy("doc_id", "label").agg(F.min("own").alias("own")).select("doc_id", "label", "own.*")
+    room = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("room", F.sum("bytes").over(room)).where((F.col("room") <= largest) | (F.col("room") == F.col("bytes"))).select("doc_id", "label", "hash")
+    held = texts.join(F.broadcast(fits), "doc_id").where(F.xxhash64("text") == F.col("hash"))
+    return held.groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(16, "doc_id")
 
 
 class Ftrl:

@@ -373,3 +373,32 @@ def test_leaks_with_answers_outside_the_item(spark):
             rows.append((10 * i + k, " ".join([*rng.choices(vocab, k=80), q, tail, *rng.choices(vocab, k=80)])))
     got = {(r["doc_id"], r["item_id"], r["answer_share"]) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()}
     assert got == {(10 * i, i, 1.0) for i in range(3)}
+
+
+def test_line_dedup_takes_columns_named_like_its_own(spark):
+    names = ["mk", "mt", "hash", "pos", "first", "_ld_key", "_ld_marked_key", "_ld_text", "all", "chunk", "n_removed"]
+    block = "\n".join(f"shared line {i}" for i in range(40))
+    rows = [(i, f"own {i}\n{block}", *range(len(names))) for i in range(6)] + [(None, None, *range(len(names))), (7, "", *range(len(names)))]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    want = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in linededup.dedup(plain).collect()), key=repr)
+    got = linededup.dedup(docs).collect()
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got), key=repr) == want
+    assert sum(r[3] for r in want) > 0 and all(r["mk"] == 0 and r["mt"] == 1 and r["_ld_key"] == 5 for r in got)
+
+
+def test_labelled_texts_stay_within_their_bytes(spark):
+    """Ids in order of their hashes while the bytes fit, the first one always; texts themselves pass no single-partition exchange."""
+    sizes = {i: 50 + 37 * i % 100 for i in range(40)}
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in sizes.items()] + [(i, "y" * n) for i, n in sizes.items()], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, label int")
+    order = [r["doc_id"] for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for most, largest in ((40, 900), (10, 10_000), (40, 1)):
+        want, total = [], 0
+        for k, i in enumerate(order[:most]):
+            total += sizes[i]
+            if total <= largest or k == 0:
+                want.append(i)
+        got = quality.bounded(docs, marks, most, largest)
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+        assert all(len(r["text"]) == sizes[r["doc_id"]] and r["label"] == r["doc_id"] % 2 for r in got.collect())
