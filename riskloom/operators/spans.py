@@ -37,8 +37,8 @@ def chunked(docs: DataFrame, budget: int, key: str = "doc_id", text: str = "text
 
 # What a date looks like; what joins two dates into a period, what closes one before it, how far apart they may stand.
 DATE = r"([0-9]{4})[.-] ?([0-9]{1,2})[.-] ?([0-9]{1,2})"
-JOINS = r"(?i)[-–—]|t[óő]l\b|határid"
-CLOSES = r"(?i)ig\b"
+JOINS = r"(?iu)[-–—]|t[óő]l\b|határid"
+CLOSES = r"(?iu)ig\b"
 REACH = 80
 
 
