@@ -8,7 +8,7 @@ from riskloom.functions.dialect import Duck, Spark
 from riskloom.sources.tables import views
 
 #: Modules with SQL (name -> text for a dialect) or QUERIES (name -> callable) and ORACLE.
-MODULES = ("scoring", "agreement", "models", "corpus", "features", "reports", "evidence", "splits", "terms")
+MODULES = ("scoring", "agreement", "models", "corpus", "features", "reports", "evidence", "splits", "terms", "choice")
 
 
 def _runner(text: str):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: A shop's tables; read by name, not registered as views.
+SHOP = ("clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.statistics import beta_column, beta_share, log_gamma, mcnemar, mcnemar_column, t_column, t_two_sided
 from riskloom.plans.registry import ORACLE, QUERIES
-from riskloom.sources.tables import TABLES
+from riskloom.sources.tables import SHOP, TABLES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in TABLES:
+    for t in TABLES + SHOP:
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return con
 
