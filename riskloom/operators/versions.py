@@ -4,7 +4,8 @@ A version that can't be read is dropped once it is chosen, and the rest is tried
 or of equal rank can't be ordered, so their call goes to review. That loop has a closed form: with `top` the
 highest rank that has a readable version and `tie` the highest rank held twice, a call is unclear if its tie is
 at or above its top. Both are maxima over counts by rank, so a call of any size is aggregated before it is
-shuffled, and no task holds a call's versions. Decisions go back by a join on the call (AQE splits large calls).
+shuffled, and no task holds a call's versions. Decisions go back by joins on the call; those of calls above LARGE
+versions, few in number, are repeated for each of SALTS parts, over which the versions of such calls are dealt.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.evidence import kept
+
 # Accents taken off; a date in a file name; numbered changes, in the order in which they count; a change without a number.
 ACCENTED, PLAIN = "áéíóöőúüű", "aeiooouuu"
 DATE = r"(?<![0-9])(20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?![0-9])"
@@ -19,6 +22,8 @@ NUMBERED = (r"(?<![0-9.])([0-9]+)-?sz-?mod", r"mod-?([0-9]+)", r"(?:^|[-_])([0-9
 UNNUMBERED = r"(?:^|[-_])(?:mod|modositas|modositott\w*)(?=[-_.]|$)"
 #: Longest error listing.
 LISTED = 20
+#: Versions from which a call is dealt over parts, and how many.
+LARGE, SALTS = 10_000, 256
 
 
 def marker(name: Column) -> Column:
@@ -64,7 +69,7 @@ def chosen(candidates: DataFrame, pins: DataFrame, overrides: DataFrame) -> Data
     A null call goes to review. Where a pin or an override can't be kept (`problems` says why) its call goes
     to review as a whole."""
     marked = _marked(candidates, pins, overrides)
-    calls = _decisions(marked, overrides).select("call", "how", "mixed", "tie", "top", F.when(F.col("how") == "gold_pin", (F.col("pins") == 1) & (F.col("pins_ok") == 1)).when(F.col("how") == "override", (F.col("names") == 1) & (F.col("names_ok") == 1)).otherwise(True).alias("sound"))
+    calls = _decisions(marked, overrides).select("call", "all", "how", "mixed", "tie", "top", F.when(F.col("how") == "gold_pin", (F.col("pins") == 1) & (F.col("pins_ok") == 1)).when(F.col("how") == "override", (F.col("names") == 1) & (F.col("names_ok") == 1)).otherwise(True).alias("sound"))
     fate = lambda name, reason=None: F.struct(F.lit(name).alias("fate"), F.lit(reason).cast("string").alias("reason"))
     by = lambda flag, other: F.when(flag, fate("included")).otherwise(fate("excluded", other))
     rank, how = F.col("rank"), F.col("how")
@@ -78,7 +83,13 @@ def chosen(candidates: DataFrame, pins: DataFrame, overrides: DataFrame) -> Data
         .when(how == "none", fate("excluded", "unreadable"))
         .otherwise(latest)
     )
-    rows = marked.join(calls, "call", "left").withColumn("out", out)
+    calls = kept(calls.select("call", "all", F.struct("how", "mixed", "tie", "top", "sound").alias("d")))
+    large = calls.where(F.col("all") > LARGE).select("call", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.col("d").alias("big"))
+    rows = marked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(large, ["call", "part"], "left")
+    # what has its decision keeps its part and meets nothing
+    rows = rows.withColumn("part", F.when(F.col("big").isNull() & F.col("call").isNotNull(), F.lit(-1)).otherwise(F.col("part")))
+    rows = rows.join(calls.select("call", F.lit(-1).alias("part"), "d"), ["call", "part"], "left")
+    rows = rows.select("call", "id", "rank", "pinned", "named", F.inline_outer(F.array(F.coalesce("big", "d")))).withColumn("out", out)
     return rows.select("call", "id", "out.fate", "out.reason", F.when(F.col("out.fate") == "included", how).alias("chosen_by"))
 
 
