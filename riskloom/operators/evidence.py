@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,8 @@ GRAM = 3
 _ENOUGH = GRAM + 2
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written once to the checkpoint folder all executors share; a private one in local mode alone."""
-    spark = df.sparkSession
+def _folder(spark) -> str:
+    """The checkpoint folder all executors share; a private one in local mode alone."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -35,9 +35,22 @@ def kept(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="riskloom-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written once to the checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written once to a new table in the checkpoint folder and read from there: packed, and by column."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a bounded width that may be broadcast.
 FEW = 500_000
 

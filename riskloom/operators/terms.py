@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.evidence import kept
+from riskloom.operators.evidence import stored
 
 # Least documents, largest share of documents, size of a vocabulary, terms shown a class, inverse strength of the penalty.
 LEAST, LARGEST, VOCABULARY, SHOWN, C = 2, 0.9, 200_000, 30, 1.0
@@ -49,7 +49,7 @@ def vocabularies(counts: DataFrame, splits: DataFrame, least: int = LEAST, large
     each = [r["split"] for r in repeats.select("split").collect()]  # a number a split
     trained = total.select("*", F.explode(F.array(*map(F.lit, each))).alias("split")).join(held, ["split", "term"], "left").join(F.broadcast(n), "split")
     trained = trained.select("split", "term", "n", (F.col("d") - F.coalesce("hd", F.lit(0))).alias("df"), (F.col("s") - F.coalesce("hs", F.lit(0))).alias("total"))
-    trained = kept(trained.where((F.col("df") >= least) & (F.col("df") <= F.lit(largest) * F.col("n"))))
+    trained = stored(trained.where((F.col("df") >= least) & (F.col("df") <= F.lit(largest) * F.col("n"))))
     tally = trained.groupBy("split", "total").agg(F.count(F.lit(1)).alias("m"))
     down = Window.partitionBy("split").orderBy(F.desc("total"))
     tally = tally.select("split", "total", "m", (F.sum("m").over(down) - F.col("m")).alias("above"))
@@ -63,35 +63,38 @@ def vocabularies(counts: DataFrame, splits: DataFrame, least: int = LEAST, large
     return out.withColumn("at", F.row_number().over(Window.partitionBy("split").orderBy("term")) - 1).select("split", "term", "df", "n", "at")
 
 
-def vectors(counts: DataFrame, splits: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(split, doc_id, label, at, v) of training documents: (1 + ln c) · idf under the split's vocabulary, at unit length.
+def vectors(counts: DataFrame, splits: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(label, own, at, tf): a row a document, with the splits that hold it back and 1 + ln c by number of term.
 
     A document without a known term has empty arrays; it is trained on, too."""
-    train = splits.select("rep", "doc_id", "label", F.col("split").alias("own"))
-    train = train.join(F.broadcast(splits.select("rep", "split").distinct()), "rep").where("own <> split").select("split", "doc_id", "label")
-    idf = vocabulary.select("split", "term", "at", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    v = counts.join(train.select("doc_id", "split"), "doc_id").join(idf, ["split", "term"]).select("split", "doc_id", "at", ((1 + F.log("c")) * F.col("idf")).alias("v"))
-    v = v.groupBy("split", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
-    v = train.join(v, ["split", "doc_id"], "left").withColumn("a", F.coalesce("a", F.array().cast("array<struct<at:int,v:double>>")))
-    return v.select("split", "doc_id", "label", F.col("a.at").alias("at"), F.transform("a.v", lambda y: y / F.col("l")).alias("v"))
+    v = counts.join(numbers.select("term", "no"), "term").groupBy("doc_id").agg(F.collect_list(F.struct("no", (1 + F.log("c")).cast("float").alias("tf"))).alias("a"))
+    own = splits.groupBy("doc_id").agg(F.min("label").alias("label"), F.collect_list("split").alias("own"))
+    v = own.join(v, "doc_id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<struct<no:int,tf:float>>")))
+    return v.select("label", "own", F.col("a.no").alias("at"), F.col("a.tf").alias("tf"))
 
 
-def _slopes(weights, biases):
-    """Per task: sums of loss and slope over its rows, in blocks of BLOCK terms a problem; only blocks that rows touch."""
+def _slopes(sent, biases):
+    """Per task: sums of loss and slope over its rows, in blocks of BLOCK terms a problem; only blocks that rows touch.
+
+    sent: the problems (split, classes with place and weight, idf by term, nought outside the split's vocabulary) and weights."""
 
     def run(batches):
         loss, slope = defaultdict(float), {}
         for batch in batches:
-            for problem, rows in batch.groupby("problem"):
-                w, bias = weights.value[problem], biases[problem]
-                lengths = rows["at"].map(len).to_numpy()
-                at = np.concatenate(rows["at"].to_list()).astype(np.int64)
-                v, doc = np.concatenate(rows["v"].to_list()).astype(float), np.repeat(np.arange(len(rows)), lengths)
-                scores = np.stack([np.bincount(doc, v * w[k, at], len(rows)) + bias[k] for k in range(len(w))], 1)
-                y, own = rows["y"].to_numpy(), rows["weight"].to_numpy()
+            lengths = batch["at"].map(len).to_numpy()
+            at = np.concatenate([np.zeros(0), *batch["at"]]).astype(np.int64)
+            tf, doc = np.concatenate([np.zeros(0), *batch["tf"]]), np.repeat(np.arange(len(batch)), lengths)
+            for problem, ((split, classes, idf), w) in enumerate(zip(sent[0].value, sent[1].value)):
+                bias = biases[problem]
+                v = tf * idf[at]
+                norm = np.sqrt(np.bincount(doc, v * v, len(batch)))
+                v /= np.where(norm > 0, norm, 1)[doc]
+                scores = np.stack([np.bincount(doc, v * w[k, at], len(batch)) + bias[k] for k in range(len(w))], 1)
+                place = [classes.get(label, (0, 0.0)) for label in batch["label"]]
+                y, own = np.array([i for i, _ in place]), np.array([x if split not in out else 0.0 for (_, x), out in zip(place, batch["own"])])
                 top = scores.max(1)
                 logs = scores - (top + np.log(np.exp(scores - top[:, None]).sum(1)))[:, None]
-                loss[problem] -= float((own * logs[np.arange(len(rows)), y]).sum())
+                loss[problem] -= float((own * logs[np.arange(len(batch)), y]).sum())
                 left = own[:, None] * (np.exp(logs) - (y[:, None] == np.arange(len(w))))
                 g = slope.setdefault(problem, np.zeros((len(w), w.shape[1] + 1)))
                 for k in range(len(w)):
@@ -111,14 +114,16 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"problem": group["problem"][:1], "start": group["start"][:1], "loss": [group["loss"].sum()], "g": [g.tobytes()]})
 
 
-def fitted(rows: DataFrame, shapes: list[tuple[int, int]], sums: list[float], c: float = C) -> list[np.ndarray]:
+def fitted(rows: DataFrame, problems: list[tuple], sums: list[float], c: float = C) -> list[np.ndarray]:
     """Weights (classes x terms, and a last column of biases) of each problem: multinomial logistic regression
     with a penalty of weight 1 / (2 c) beside the weighted losses, biases free.
 
-    rows: problem, y, weight, at, v. All problems go down together by L-BFGS: a step is one job that adds
+    rows as `vectors` gives them, problems as `_slopes` takes them; sums: weights of each one's rows. All problems go down together by L-BFGS: a step is one job that adds
     slopes by block of terms. Spark ML's learner scales rare terms up first, and with a penalty on the terms as
     they are it took 400 steps a problem where this takes some 30 for all."""
     spark, schema = rows.sparkSession, "problem int, start int, loss double, g binary"
+    shapes = [(len(classes), len(idf)) for _, classes, idf in problems]
+    given = spark.sparkContext.broadcast(problems)  # five or so times VOCABULARY numbers
     edges = np.cumsum([0] + [k * (d + 1) for k, d in shapes])
 
     def parts(x):
@@ -128,7 +133,7 @@ def fitted(rows: DataFrame, shapes: list[tuple[int, int]], sums: list[float], c:
         each = parts(x)
         sent = spark.sparkContext.broadcast([p[:, :-1] for p in each])
         total, slope = 0.0, np.zeros_like(x)
-        tasks = rows.mapInPandas(_slopes(sent, [p[:, -1] for p in each]), schema)
+        tasks = rows.mapInPandas(_slopes((given, sent), [p[:, -1] for p in each]), schema)
         for r in tasks.groupBy("problem", "start").applyInPandas(_added, schema).collect():  # a row a block of terms
             k, d = shapes[r["problem"]]
             g = np.frombuffer(r["g"]).reshape(k, -1)
@@ -176,35 +181,41 @@ def fitted_top_terms(docs: DataFrame, words: Column, splits: DataFrame, shown: i
     A class without training documents in a split has weight 0 there; without two classes nothing is fitted,
     and without any fitted split there are no rows."""
     spark = docs.sparkSession
-    splits = kept(splits.select("doc_id", "label", "rep", "split"))
-    counts = kept(term_counts(docs.join(splits.select("doc_id").distinct(), "doc_id", "left_semi"), words))
+    splits = stored(splits.where("label is not null").select("doc_id", "label", "rep", "split"))
+    counts = stored(term_counts(docs.join(splits.select("doc_id").distinct(), "doc_id", "left_semi"), words))
     empty = spark.createDataFrame([], "label string, term string, mean double, folds long, place long")
     if splits.isEmpty() or counts.isEmpty():
         return empty
-    vocabulary = kept(vocabularies(counts, splits, **limits))
+    vocabulary = stored(vocabularies(counts, splits, **limits))
     # one number a term over all splits; splits times VOCABULARY terms at most
-    numbers = kept(vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("folds")).withColumn("no", F.row_number().over(Window.orderBy("term")) - 1))
-    places = vocabulary.join(numbers, "term").select("split", "at", "no").toPandas()
+    numbers = stored(vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("folds")).withColumn("no", F.row_number().over(Window.orderBy("term")) - 1))
+    idf = (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    places = vocabulary.join(numbers, "term").select("split", "no", idf).toPandas()
     if places.empty:
         return empty
-    at = {k: g.sort_values("at")["no"].to_numpy() for k, g in places.groupby("split")}
-    trained = kept(vectors(counts, splits, vocabulary))
-    sizes: dict = {}
-    for r in trained.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a split and class
-        sizes.setdefault(r["split"], {})[r["label"]] = r["n"]
-    means = {label: np.zeros(places["no"].max() + 1) for s in sizes.values() for label in s}
-    problems = [s for s in sorted(sizes) if len(sizes[s]) > 1 and s in at]
+    width, terms = int(places["no"].max()) + 1, dict(list(places.groupby("split")))
+    rows = stored(vectors(counts, splits, numbers))
+    held = splits.groupBy("rep", "split", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a split and class
+    each = sorted({(r["rep"], r["split"]) for r in held})
+    problems, sums, means = [], [], {r["label"]: np.zeros(width) for r in held}
+    for rep, split in each:
+        sizes: dict = defaultdict(int)
+        for r in held:
+            if r["rep"] == rep and r["split"] != split:
+                sizes[r["label"]] += r["n"]
+        n = sum(sizes.values())
+        if len(sizes) > 1 and split in terms:
+            known = np.zeros(width)
+            known[terms[split]["no"]] = terms[split]["idf"]
+            problems.append((split, {label: (i, n / (len(sizes) * sizes[label])) for i, label in enumerate(sorted(sizes))}, known))
+            sums.append(float(n))
     if problems:
-        keys = [(p, s, i, label, sum(sizes[s].values()) / (len(sizes[s]) * sizes[s][label])) for p, s in enumerate(problems) for i, label in enumerate(sorted(sizes[s]))]
-        named = spark.createDataFrame(keys, "problem int, split int, y int, label string, weight double")
-        rows = kept(trained.join(F.broadcast(named), ["split", "label"]).select("problem", "y", "weight", "at", "v"))
-        weights = fitted(rows, [(len(sizes[s]), len(at[s])) for s in problems], [float(sum(sizes[s].values())) for s in problems])
-        for s, w in zip(problems, weights):
-            for label, own in zip(sorted(sizes[s]), w):
-                means[label][at[s]] += own[:-1]
+        for (_, classes, _), w in zip(problems, fitted(rows, problems, sums)):
+            for label, (i, _) in classes.items():
+                means[label] += w[i, :-1]
     best = []
     for label, m in means.items():
-        m /= len(sizes)
+        m /= len(each)
         least = np.sort(m)[-min(shown, len(m))]
         best += [(label, int(i), float(m[i])) for i in np.flatnonzero(m >= least)]
     named = spark.createDataFrame(best, "label string, no int, mean double").join(numbers, "no")

@@ -13,8 +13,7 @@ from riskloom.sources.tables import table, views
 
 def words(text: str = "text"):
     """Lower-case words of two letters or more, stop words out, in order."""
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~F.array_contains(stops, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def fitted_top_terms(spark, sf_dir):
