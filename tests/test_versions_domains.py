@@ -125,3 +125,14 @@ def test_numbers_must_be_finite(spark):
     rows = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (2.0,)], "x double").select(F.to_variant_object(F.struct("x")).alias("v"))
     got = rows.select(violation(F.try_variant_get("v", "$.x", "variant"), Domain(numbers=True)).alias("w")).collect()
     assert [r["w"] for r in got] == ["not finite"] * 3 + [None]
+
+
+def test_large_calls_are_decided_alike(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(call, call * 100 + i, f"a-v{i // 2 if call % 4 == 0 else i}.pdf", draw.random() < 0.4) for call in range(12) for i in range(1 + call)] + [(None, 9999, "a", True)]
+    frame = spark.createDataFrame(rows, "call long, id long, name string, readable boolean")
+    none = spark.createDataFrame([], "call long, id long")
+    want = sorted(map(tuple, chosen(frame, none, none).collect()), key=repr)
+    monkeypatch.setattr("riskloom.operators.versions.LARGE", 3)
+    monkeypatch.setattr("riskloom.operators.versions.SALTS", 4)
+    assert sorted(map(tuple, chosen(frame, none, none).collect()), key=repr) == want and len(want) == len(rows)
