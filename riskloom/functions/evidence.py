@@ -8,10 +8,10 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# The page marker, what stands for left-out words, least length of a piece, most an ellipsis skips.
+# The page marker, what stands for left-out words, least length of a piece, most an ellipsis skips, words of a run.
 PAGE_MARKER = re.compile(r"<!-- page (\d+) -->")
 ELLIPSIS = re.compile(r"\s*[\[(]?\s*(?:\.\.\.|…)\s*[\])]?\s*")
-LEAST_PIECE, MOST_SKIPPED = 20, 300
+LEAST_PIECE, MOST_SKIPPED, RUN = 20, 300, 3
 
 _MARKUP = str.maketrans({"*": None, "_": None, "`": None, "|": " ", "#": " "})
 
@@ -52,22 +52,51 @@ class Pages:
         return None if at is None else self.numbers[bisect_right(self.starts, at) - 1]
 
 
+class Quotes:
+    """Quotes by a run of inner words of their first piece: whatever text holds a quote has these as whole words in a row,
+    so a text meets only quotes whose run it has. Quotes of two words or fewer have none and meet every text."""
+
+    def __init__(self, quotes: list[tuple[int, str]]):
+        self.runs: dict[int, dict[tuple, list]] = {}
+        self.others = []
+        for item, quote in quotes:
+            pieces = [p for p in map(normalised, ELLIPSIS.split(quote)) if p]
+            inner = (pieces[0] if len(pieces) > 1 else normalised(quote)).split(" ")[1:-1]
+            if not inner:
+                self.others.append((item, quote))
+                continue
+            n = min(RUN, len(inner))
+            run = max(zip(*(inner[i:] for i in range(n))), key=lambda r: sum(map(len, r)))
+            self.runs.setdefault(n, {}).setdefault(run, []).append((item, quote))
+
+    def met_by(self, text: str):
+        """(item, quote) of all that a normalised text may hold."""
+        words = text.split(" ")
+        for n, runs in self.runs.items():
+            for run in runs.keys() & set(zip(*(words[i:] for i in range(n)))):
+                yield from runs[run]
+        yield from self.others
+
+
 FOUND = "doc_id long, item_id long, page int"
 
 
 def found_in(documents: DataFrame, quotes: DataFrame, block: int = 2000) -> DataFrame:
     """(doc_id, item_id, page) of every quote (item_id, text) in every paged text (doc_id, markdown).
 
-    Quotes are held in blocks of a bounded number; a text is passed once for each block."""
+    Quotes are held in blocks of a bounded number; a text is passed once for each block, and held against those
+    quotes alone whose run of words it has."""
     spark, out, held = documents.sparkSession, None, []
 
     def search(part):
+        asked = Quotes(part)
+
         def run(batches):
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("markdown").to_pylist()):
                     pages = Pages(text or "")
-                    rows += [(doc, item, page) for item, quote in part if (page := pages.page(quote)) is not None]
+                    rows += [(doc, item, page) for item, quote in asked.met_by(pages.text) if (page := pages.page(quote)) is not None]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "page"])
 
