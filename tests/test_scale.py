@@ -2,7 +2,9 @@
 
 import random
 
+from riskloom.functions.dialect import Spark
 from riskloom.functions.evidence import Pages, Quotes
+from riskloom.plans import models
 
 
 def test_quotes_meet_only_texts_with_their_run():
@@ -26,3 +28,16 @@ def test_quotes_meet_only_texts_with_their_run():
         assert sorted(i for i, q in met if pages.page(q) is not None) == [i for i, q in quotes if pages.page(q) is not None]
     assert tried < len(texts) * len(quotes) / 2
     assert [*Quotes([(1, "one two three four five six")]).met_by("one two three five four six")] == []
+
+
+def test_cosines_by_blocks_of_ids(spark, tmp_path):
+    """Negative, distant, repeated and null ids, null parts and short vectors: as the SQL has it, joined by blocks of ids."""
+    rows = [(i, [float(i % 7), 1.0, float(i % 3) - 1]) for i in (-41, -25, -20, -5, -1, 0, 1, 15, 19, 20, 21, 39, 40, 100, 1000)]
+    rows += [(15, [1.0, 2.0]), (15, [0.5, None, 4.0]), (20, None), (21, []), (22, [None, None]), (23, [2.0]), (None, [1.0, 1.0])]
+    spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = models.cosine_similarity(spark, str(tmp_path))
+    spark.read.parquet(f"{tmp_path}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    want = spark.sql(models.SQL["cosine_similarity"](Spark))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "block" in got._jdf.queryExecution().optimizedPlan().toString()
