@@ -20,6 +20,10 @@ T_24 = 2.0638985616280205
 ALLOWED = {"fin_form": (1, 2, 3), "konzorcium": (0, 3), "egysz_elszam": (0, 3), "biztositek": (0, 3), "tam_tevekenyseg": (0, 2, 3)}
 
 
+#: Slices of scores (0 to 1) and of counts within which Spark adds up.
+LOTS = 1024
+
+
 def t_two_sided(t: str, df: int = 24) -> str:
     """Two-sided p of t for an even number of degrees of freedom: a finite series in the cosine of its angle."""
     cos2 = f"(1 / (1 + {t} * {t} / {df}e0))"
@@ -31,6 +35,9 @@ def t_two_sided(t: str, df: int = 24) -> str:
 
 def scoped(D) -> str:
     """CTE sc: every prediction in its pooled, repeat and fold scope."""
+    if D.idiv == "div":
+        return f"""{predictions(D)},
+sc as (select model, explode(array('pooled', concat('repeat:', rep), concat('fold:', rep, '.', fold))) scope, doc_id, label, predicted, p_low, p_medium, p_high from pred)"""
     return f"""{predictions(D)},
 sc as (select model, 'pooled' scope, doc_id, label, predicted, p_low, p_medium, p_high from pred
   union all select model, concat('repeat:', cast(rep as varchar(5))), doc_id, label, predicted, p_low, p_medium, p_high from pred
@@ -38,7 +45,26 @@ sc as (select model, 'pooled' scope, doc_id, label, predicted, p_low, p_medium,
 
 
 def aucs(D) -> str:
-    """CTEs ovr, ovo: rank-sum AUC of each class against the rest, and of each ordered pair of classes."""
+    """CTEs ovr, ovo: rank-sum AUC of each class against the rest, and of each ordered pair of classes.
+
+    Spark counts the classes at each score once for all AUCs and adds them up within LOTS slices of the scores, so no task ranks a scope."""
+    if D.idiv == "div":
+        n = {c: f"count(case when label = '{c}' then 1 end) n_{c}" for c in CLASSES}
+        scores = ", ".join(f"struct('{c}' cls, p_{c} p)" for c in CLASSES)
+        each_of = lambda make: ", ".join(map(make, CLASSES))
+        rank_sum = lambda a, others: f"cast(sum(n_{a} * (2 * ({' + '.join(f'less_{c}' for c in others)}) + {' + '.join(f'n_{c}' for c in others)} + 1)) as bigint)"
+        area = lambda a, rest: f"case when {a} > 0 and {rest} > 0 then cast(u.s - {a} * ({a} + 1) as double) / (2.0 * {a} * {rest}) end auc"
+        one = lambda a: f"struct(0 kind, '{a}' cls, all_{a} np, {' + '.join(f'all_{x}' for x in CLASSES if x != a)} nn, s_{a} s)"
+        two = lambda a: ", ".join(f"struct(1 kind, '{a}-{b}' cls, all_{a} np, all_{b} nn, s_{a}_{b} s)" for b in CLASSES if a != b)
+        every = " ".join(f"when '{c}' then array({one(c)}, {two(c)})" for c in CLASSES)
+        return f"""dealt_ as (select model, scope, label, x.cls, x.p, cast(floor(x.p * {LOTS}) as int) lot from (select model, scope, label, explode(array({scores})) x from sc) z distribute by model, scope, cls, lot),
+at_ as (select model, scope, cls, lot, p, {each_of(n.get)} from dealt_ group by model, scope, cls, lot, p),
+lot_ as (select model, scope, cls, lot, {each_of(lambda c: f'sum(n_{c}) over (w) - n_{c} before_{c}')} from (select model, scope, cls, lot, {each_of(lambda c: f'sum(n_{c}) n_{c}')} from at_ group by model, scope, cls, lot) z window w as (partition by model, scope, cls order by lot)),
+less_ as (select model, scope, cls, lot, {each_of(lambda c: f'n_{c}')}, {each_of(lambda c: f'before_{c} + sum(n_{c}) over (w) - n_{c} less_{c}')} from at_ join lot_ using (model, scope, cls, lot) window w as (partition by model, scope, cls, lot order by p)),
+sums_ as (select model, scope, cls, {each_of(lambda c: f'cast(sum(n_{c}) as bigint) all_{c}')}, {each_of(lambda c: f'{rank_sum(c, CLASSES)} s_{c}')}, {', '.join(f'{rank_sum(a, (a, b))} s_{a}_{b}' for a in CLASSES for b in CLASSES if a != b)} from less_ group by model, scope, cls),
+each_ as (select model, scope, u.kind, u.cls, {area('u.np', 'u.nn')} from (select model, scope, explode(case cls {every} end) u from sums_) z where u.kind = 0 or u.np + u.nn > 0),
+ovr as (select model, scope, cls, auc from each_ where kind = 0),
+ovo as (select model, scope, cls, auc from each_ where kind = 1)"""
     each = " union all ".join(f"select model, scope, '{c}' cls, p_{c} p, case when label = '{c}' then 1 else 0 end y from sc" for c in CLASSES)
     pairs = " union all ".join(f"select model, scope, '{a}-{b}' cls, p_{a} p, case when label = '{a}' then 1 else 0 end y from sc where label in ('{a}', '{b}')" for a in CLASSES for b in CLASSES if a != b)
 
@@ -119,7 +145,21 @@ TEST = "model, n, round(mean, 9) mean, round(sd, 9) sd, round(t, 6) t, round(p,
 
 
 def curves(D) -> str:
-    """CTE points_: each class's ROC on a grid of 201 points: top of vertical rises, straight lines between."""
+    """CTE points_: each class's ROC on a grid of 201 points: top of vertical rises, straight lines between.
+
+    Spark adds up, and looks for the next point, within LOTS slices of scores and of counts, and makes a segment's own grid points alone."""
+    if D.idiv == "div":
+        scores = ", ".join(f"struct('{c}' cls, p_{c} p, int(label = '{c}') y)" for c in CLASSES)
+        return f"""{predictions(D)}, dealt_ as (select model, u.cls, u.p, u.y, cast(floor(u.p * {LOTS}) as int) lot from (select model, explode(array({scores})) u from pred) z distribute by model, cls, lot),
+cv as (select model, cls, lot, p, cast(sum(y) as bigint) y, cast(sum(1 - y) as bigint) x from dealt_ group by model, cls, lot, p),
+lot_ as (select model, cls, lot, sum(y) over (w) - y y0, sum(x) over (w) - x x0, sum(y) over (partition by model, cls) np, sum(x) over (partition by model, cls) nn from (select model, cls, lot, sum(y) y, sum(x) x from cv group by model, cls, lot) z window w as (partition by model, cls order by lot desc)),
+cu as (select model, cls, y0 + sum(cv.y) over (w) tp, x0 + sum(cv.x) over (w) fp, np, nn from cv join lot_ using (model, cls, lot) window w as (partition by model, cls, lot order by p desc)),
+vx as (select model, cls, tp, fp, np, nn from cu union all select distinct model, cls, 0L, 0L, np, nn from lot_),
+st as (select model, cls, fp, np, nn, max(tp) top, min(tp) bottom, cast(fp * {LOTS} div (nn + 1) as int) lot from vx group by model, cls, fp, np, nn),
+next_ as (select model, cls, lot, lead(first_) over (partition by model, cls order by lot) next_ from (select model, cls, lot, min(struct(fp, bottom)) first_ from st group by model, cls, lot) z),
+sg as (select model, cls, fp, np, nn, top, coalesce(lead(struct(fp, bottom)) over (partition by model, cls, lot order by fp), next_) after_ from st join next_ using (model, cls, lot)),
+gr as (select *, after_.fp fp2, after_.bottom tp2, (200 * fp + nn - 1) div nn lo, case when after_ is null then 200L else (200 * after_.fp + nn - 1) div nn - 1 end hi from sg where np > 0 and nn > 0),
+points_ as (select model, cls, id g, case when id * nn = 200 * fp or fp2 is null then cast(top as double) / np else (top + cast((id * nn - 200 * fp) as double) / (200 * (fp2 - fp)) * (tp2 - top)) / np end tpr from gr lateral view explode(sequence(lo, hi)) g_ as id where lo <= hi)"""
     each = " union all ".join(f"select model, '{c}' cls, p_{c} p, case when label = '{c}' then 1 else 0 end y from pred" for c in CLASSES)
     grid = "select explode(sequence(0, 200)) id" if D.idiv == "div" else "select unnest(generate_series(0, 200)) id"
     return f"""{predictions(D)}, u as ({each}), cv as (select model, cls, p, cast(sum(y) as bigint) y, cast(sum(1 - y) as bigint) x from u group by model, cls, p),

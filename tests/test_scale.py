@@ -4,7 +4,8 @@ import random
 
 from riskloom.functions.dialect import Spark
 from riskloom.functions.evidence import Pages, Quotes
-from riskloom.plans import models
+from riskloom.plans import models, reports
+from riskloom.plans.registry import ORACLE
 
 
 def test_quotes_meet_only_texts_with_their_run():
@@ -41,3 +42,11 @@ def test_cosines_by_blocks_of_ids(spark, tmp_path):
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "block" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_task_ranks_a_class_or_a_scope():
+    """Folds, AUCs and curves add up within slices; the plain windows stay in the SQL that DuckDB runs."""
+    whole = ("over (partition by rep, label order by md5", "rank() over (partition by model, scope, cls order by p)", "over (partition by model, cls order by p desc)", "over (partition by model, cls order by fp)")
+    for name in ("fold_assignment", "auc_every_class", "classification_all_scopes", "model_comparison", "summary_all_metrics", "roc_curves"):
+        text, plain = reports.SQL.get(name, models.SQL.get(name)), ORACLE[name]
+        assert any(w in plain for w in whole) and not any(w in text(Spark) for w in whole)
