@@ -4,10 +4,11 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.learners import balanced, shares
-from riskloom.operators.terms import fitted_top_terms, term_counts, vocabularies
+from riskloom.operators.terms import fitted, fitted_top_terms, term_counts, vocabularies
 
 WORDS = "alma barack citrom dinnye eper füge gomba hagyma".split()
 
@@ -99,3 +100,22 @@ def test_odd_rows(spark):
     docs = [(i, t, "a") for i, t, _ in corpus(12)]
     rows, words, splits = frames(spark, docs)
     assert {r["mean"] for r in fitted_top_terms(rows, words, splits).collect()} <= {0.0}  # one class: nothing to tell apart
+
+
+def test_terms_are_counted_where_their_text_lies(spark):
+    rows, words, _ = frames(spark, corpus())
+    plan = term_counts(rows, words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # texts move, not terms
+
+
+def test_no_more_slopes_than_cores(spark):
+    """Rows in many parts are met by as many tasks as there are cores; each gives slopes of all terms."""
+    rows = spark.range(60).selectExpr("if(id % 2 = 0, 'a', 'b') label", "array(9) own", "array(1d) norms", "array(cast(id % 2 as int)) at", "array(1f) tf").repartition(50)
+    parts = []
+    real = DataFrame.mapInArrow
+    DataFrame.mapInArrow = lambda self, *a, **k: parts.append(self.rdd.getNumPartitions()) or real(self, *a, **k)
+    try:
+        (w,) = fitted(rows, [(0, 0, {"a": (0, 1.0), "b": (1, 1.0)}, np.ones(2))], [60.0])
+    finally:
+        DataFrame.mapInArrow = real
+    assert max(parts) <= spark.sparkContext.defaultParallelism and w[0, 0] > 1 > -1 > w[0, 1]
