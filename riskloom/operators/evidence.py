@@ -68,9 +68,9 @@ def normalised(text: Column) -> Column:
 def worded(documents: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
     """key, words of all pages (normalised, in order), starts (the first word's place of each page, from 0)."""
     by_page = F.transform(pages, lambda p: F.filter(F.split(normalised(F.coalesce(p, F.lit(""))), " "), lambda w: w != ""))
-    cut = documents.select(F.col(key).alias("key"), by_page.alias("held"))
+    cut = documents.where(F.size(pages) > 0).select(F.col(key).alias("key"), by_page.alias("held"))
     starts = F.transform(F.sequence(F.lit(1), F.size("held")), lambda i: F.aggregate(F.slice("held", 1, i - 1), F.lit(0), lambda n, p: n + F.size(p)))
-    return cut.where(F.size("held") > 0).select("key", F.flatten("held").alias("words"), starts.alias("starts"))
+    return cut.select("key", F.flatten("held").alias("words"), starts.alias("starts"))
 
 
 def pieces(quotes: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -117,7 +117,7 @@ def search(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     nothing; equal documents and equal quotes find the same each; null ids are ids of their own."""
     texts = worded(documents)
     sown = kept(seeds(pieces(quotes)))
-    needed = sown.select("gram").distinct()
+    needed = small(kept(sown.select("gram").distinct()))
     widths = [GRAM, *([1] if not sown.where(F.size("first") < _ENOUGH).isEmpty() else [])]
     grams = F.flatten(F.filter(F.array(*(_grams(F.col("words"), w) for w in widths)), lambda g: g.isNotNull()))
     hits = texts.select("key", F.explode(grams).alias("g")).select("key", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
