@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from riskloom.functions.cleaning import converted
+from riskloom.functions.dialect import Spark
 from riskloom.functions.evidence import found_in
+from riskloom.operators.evidence import small, stored
 from riskloom.sources.tables import CATALOGUE, catalogue, table
 
 #: Accented Hungarian and western letters and their plain forms (fixed values).
@@ -86,6 +91,24 @@ select o_orderkey, cast(cast(concat(whole, '.', case when part = '' then '0' els
 }
 
 
+def nearest_centroid(spark, sf_dir):
+    """Texts are read and counted once, where they lie; vocabulary and centroids go to the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    tok = docs.select("doc_id", F.explode(F.expr(Spark.found("lower(text)", "[a-z]{2,}"))).alias("w"))
+    counts = stored(tok.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("c")))
+    train = counts.where("doc_id % 5 <> 0")
+    n = train.select("doc_id").distinct().count()
+    known = small(stored(train.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(f"df >= 5 and df <= 0.95 * {n}").select("w", F.expr(f"ln((1.0 + {n}) / (1.0 + df)) + 1").alias("idf"))))
+    lab = small(stored(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("y"))))
+    x = counts.join(lab, "doc_id").join(known, "w").select("doc_id", "y", "w", ((1 + F.log("c")) * F.col("idf")).alias("v"))
+    x = stored(x.select("doc_id", "y", "w", (F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))).alias("u")))
+    c = stored(x.where("doc_id % 5 <> 0").groupBy("y", "w").agg(F.sum("u").alias("v")))
+    q = c.groupBy("y").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("s"))  # a row a class
+    c = small(stored(c.join(q, "y").select("y", "w", (F.col("v") / F.col("s")).alias("v"))))
+    met = x.where("doc_id % 5 = 0").select("doc_id", "w", "u").join(c, "w").groupBy("doc_id", "y").agg(F.round(F.sum(F.col("u") * F.col("v")), 9).alias("cosine"))
+    return met.groupBy("doc_id").agg(F.max_by("y", F.struct("cosine", "y")).alias("predicted"), F.round(F.max("cosine"), 6).alias("cosine"))
+
+
 def _learners(name):
     def run(spark, sf_dir):
         from riskloom.operators import learners
@@ -104,6 +127,7 @@ def paged(documents, lines: int = 40):
 ORACLE = {"catalogue": CATALOGUE}
 QUERIES = {
     "catalogue": catalogue,
+    "nearest_centroid": nearest_centroid,
     "clean_documents": lambda spark, sf_dir: converted(paged(table(spark, sf_dir, "documents"))),
     "quote_pages": lambda spark, sf_dir: found_in(converted(paged(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark")),
     "cv_logistic_regression": _learners("cross_validated_logreg"),
