@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
+
 from riskloom.functions.dialect import Spark
 from riskloom.functions.evidence import Pages, Quotes
+from riskloom.operators.evidence import worded
 from riskloom.plans import models, reports
-from riskloom.plans.registry import ORACLE
+from riskloom.plans.registry import ORACLE, QUERIES
 
 
 def test_quotes_meet_only_texts_with_their_run():
@@ -50,3 +53,19 @@ def test_no_task_ranks_a_class_or_a_scope():
     for name in ("fold_assignment", "auc_every_class", "classification_all_scopes", "model_comparison", "summary_all_metrics", "roc_curves"):
         text, plain = reports.SQL.get(name, models.SQL.get(name)), ORACLE[name]
         assert any(w in plain for w in whole) and not any(w in text(Spark) for w in whole)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_normalised_once(spark):
+    """A filter on normalised words would normalise every page a second time."""
+    plan = _plan(worded(spark.createDataFrame([(1, ["a b", "c"]), (2, []), (3, None)], "doc_id long, pages array<string>")))
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
+
+
+@pytest.mark.parametrize("name", ["tfidf_features", "tfidf_vocabulary", "top_terms", "nearest_centroid"])
+def test_texts_are_read_once(spark, name):
+    """Terms are counted into a table; the query's plan doesn't go back to the texts for each use of them."""
+    assert "regexp_extract_all" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
