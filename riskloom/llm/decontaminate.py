@@ -3,7 +3,7 @@
 Passages are made of blocks of BLOCK words. Passage frequencies are counted over all
 documents for the words of a block of items (a word of no item can't bring a passage nearer to one);
 the latent space comes from a randomised SVD (range finder with one power step) of TF-IDF
-passages, summed over tasks, fitted on a bounded sample of documents plus the benchmark. Every
+passages, summed over tasks, fitted on all documents plus the benchmark. Every
 passage of every document, two and four blocks wide, is projected and compared by cosine with every
 item of a block of items; a longer item is searched for by its windows of four blocks, since no passage
 holds enough of it. Candidates are then judged on their words: a longest common subsequence
@@ -29,8 +29,10 @@ COMMON = 0.004
 COSINE, CONTAINED = 0.5, 0.4
 #: Share of the item's words in the longest common subsequence, and of its answer's.
 COVER, ANSWER = 0.6, 0.5
-#: Bounds: documents the latent space is fitted on, and items (a long one counts by its windows) searched for in one pass.
+#: Weight of all documents together against an item's 20 in the fit of the latent space, and bound: items (a long one counts by its windows) searched for in one pass.
 FIT_DOCS, ITEMS = 2000, 1000
+#: Terms a row of a task's sum holds.
+ROWS = 512
 #: Words of a window of a long item, and of the longest item searched for whole: COVER of it in the widest passage still exceeds CONTAINED.
 WINDOW, WHOLE = 4 * BLOCK, 5 * BLOCK
 U = np.uint64
@@ -95,41 +97,71 @@ def vectors(idx: np.ndarray, row: np.ndarray, rows: int, weighted: np.ndarray) -
     return out, start, brow
 
 
-def latent(sample: DataFrame, items: list[str], vocabulary: np.ndarray, idf: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Randomised SVD: orthonormal basis (terms x RANK) of the strongest right directions."""
+def known_terms(data: np.ndarray, at: np.ndarray, rows: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block and place in the vocabulary of each known word of a piece of texts; blocks don't cross texts."""
+    h, row = tokens(data, at)
+    start, _ = blocks(row, rows)
+    idx = term_ids(h, vocabulary)
+    known = np.flatnonzero(idx >= 0)
+    return np.searchsorted(start, known, "right") - 1, idx[known]
+
+
+def known_blocks(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(block, term): the known words of all documents, a row a piece of texts; rare words, so little is written."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column("text"), 1 << 20):
+                of, idx = known_terms(data, at, hi - lo, vocabulary)
+                if len(idx):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (of, idx)], names=["block", "term"])
+
+    return docs.select("text").mapInArrow(lean(run), "block array<int>, term array<int>")
+
+
+def _added(group):
+    import pandas as pd
+
+    return pd.DataFrame({"start": group["start"][:1], "z": [np.sum([np.frombuffer(z) for z in group["z"]], 0).tobytes()]})
+
+
+def latent(known: DataFrame, weight: float, items: list[str], vocabulary: np.ndarray, idf: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Randomised SVD: orthonormal basis (terms x RANK) of the strongest right directions.
+
+    known: all documents' words as `known_blocks` gives them, each counting `weight`."""
     size = len(idf)
     width = min(size, RANK + EXTRA)
     base = np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
 
-    def product(text: pa.Array, weighted: np.ndarray) -> np.ndarray:
-        """A'(A omega) of a column of texts, blocks as rows of unit length."""
-        out = np.zeros((size, width), np.float32)
-        for lo, hi, data, at in chunks(text, 1 << 19):
-            h, row = tokens(data, at)
-            idx = term_ids(h, vocabulary)
-            y, start, _ = vectors(idx, row, hi - lo, weighted)
-            at_ = np.flatnonzero(idx >= 0)
-            if not len(at_):
-                continue
-            of, idx = np.searchsorted(start, at_, "right") - 1, idx[at_]
-            y = y / np.bincount(of, idf[idx] ** 2, len(start))[:, None].clip(1e-6).astype(np.float32)
-            order = np.argsort(idx, kind="stable")
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(idx[order]) > 0]))
-            out[idx[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0) * idf[idx[order][edge], None]
-        return out
+    def product(of: np.ndarray, idx: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
+        """Adds A'(A omega) of known words to out, blocks as rows of unit length."""
+        if not len(idx):
+            return
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        of = np.cumsum(new) - 1
+        y = np.add.reduceat(weighted[idx], np.flatnonzero(new), axis=0)
+        y = y / np.bincount(of, idf[idx] ** 2)[:, None].clip(1e-6).astype(np.float32)
+        order = np.argsort(idx, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(idx[order]) > 0]))
+        out[idx[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0) * idf[idx[order][edge], None]
 
     for _ in range(2):
         weighted = base * idf[:, None]
 
         def run(batches):
-            total = np.zeros((size, width), np.float32)
+            total = np.zeros((size, width))
             for batch in batches:
-                total += product(batch.column("text"), weighted)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
-
-        total = 20.0 * product(pa.array(items, pa.string()), weighted)
-        for r in sample.select("text").mapInArrow(lean(run), "z binary").toLocalIterator():  # a bounded matrix from each of a few tasks
-            total = total + np.frombuffer(r["z"], np.float32).reshape(size, width)
+                for of, idx in zip(batch.column("block"), batch.column("term")):
+                    product(of.values.to_numpy(), idx.values.to_numpy(), weighted, total)
+            for start in range(0, size, ROWS):
+                yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int32()), "z": [total[start : start + ROWS].tobytes()]})
+
+        total = np.zeros((size, width))
+        for lo, hi, data, at in chunks(pa.array(items, pa.string()), 1 << 19):
+            product(*known_terms(data, at, hi - lo, vocabulary), weighted, total)
+        total *= 20.0
+        for r in known.mapInArrow(lean(run), "start int, z binary").groupBy("start").applyInPandas(_added, "start int, z binary").collect():  # a bounded matrix
+            total[r["start"] : r["start"] + ROWS] += weight * np.frombuffer(r["z"]).reshape(-1, width)
         base = np.linalg.qr(total + 1e-6 * base)[0].astype(np.float32)
     return np.ascontiguousarray(base[:, :RANK])
 
@@ -264,8 +296,6 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", answer.alias("answer")).orderBy("item_id", "text").toLocalIterator()
     total = max(1, docs.count())
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, -(-total // FIT_DOCS)))) == 0).select("text")
-    sample = saved(sample, "latent-sample").coalesce(6)
     out = []
     for block in _blocks(rows):
         items = [i for i, _ in block if i.n]
@@ -275,7 +305,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
         keep = rare | np.isin(vocabulary, np.array([w for i in items if rare[term_ids(i.own, vocabulary)].sum() < 3 for w in i.words], U))
         vocabulary, df = vocabulary[keep], df[keep]
         idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-        out.append(Search(items, vocabulary, idf, latent(sample, [text for _, text in block], vocabulary, idf)))
+        out.append(Search(items, vocabulary, idf, latent(saved(known_blocks(docs, vocabulary), "latent-terms"), min(1.0, FIT_DOCS / total), [text for _, text in block], vocabulary, idf)))
     return out
 
 

@@ -402,3 +402,35 @@ def test_labelled_texts_stay_within_their_bytes(spark):
         got = quality.bounded(docs, marks, most, largest)
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
         assert all(len(r["text"]) == sizes[r["doc_id"]] and r["label"] == r["doc_id"] % 2 for r in got.collect())
+
+
+def test_the_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """Against the same steps on a dense matrix of every document's blocks, with many more documents than FIT_DOCS."""
+    monkeypatch.setattr(decontaminate, "FIT_DOCS", 4)
+    draw = np.random.default_rng(3)
+    names = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(draw.choice(names, 40))) for i in range(60)] + [(60, None), (61, "")]
+    items = [" ".join(draw.choice(names, 14)) for _ in range(3)]
+    h = decontaminate.Item(0, " ".join(names), None).words
+    vocabulary, idf = np.unique(np.array(h, np.uint64)), np.linspace(1, 2, 30).astype(np.float32)
+    place = dict(zip(names, np.searchsorted(vocabulary, np.array(h, np.uint64))))
+
+    def bent(texts):
+        g = np.zeros((30, 30))
+        for t in texts:
+            w = [place[x] for x in (t or "").split()]
+            for k in range(0, len(w), decontaminate.BLOCK):
+                part = w[k : k + decontaminate.BLOCK]
+                row = np.bincount(part, minlength=30) * idf
+                g += np.outer(row, row) / (idf[part] ** 2).sum()
+        return g
+
+    g = 20 * bent(items) + 0.5 * bent([t for _, t in rows])
+    want = np.random.default_rng(11).normal(size=(30, 30)).astype(np.float32)
+    for _ in range(2):
+        want = np.linalg.qr(g @ want + 1e-6 * want)[0].astype(np.float32)
+    known = decontaminate.known_blocks(decontaminate.text_or_empty(frame(spark, rows).repartition(3)), vocabulary)
+    got = decontaminate.latent(known, 0.5, items, vocabulary, idf)
+    assert np.abs(np.abs(got[:, :8]) - np.abs(want[:, :8])).max() < 5e-3
+    searches = decontaminate.prepared(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert [len(s.items) for s in searches] == [3]
