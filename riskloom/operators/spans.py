@@ -47,18 +47,17 @@ def periods(text: Column) -> Column:
 
     One fold over the dates in order: the state is the last date that no period has used and the text since,
     so a date belongs to one period at most. Impossible dates are text. Null and empty texts have none."""
-    found = F.regexp_extract_all(text, F.lit(DATE), F.lit(0))
-    each = F.zip_with(found, F.slice(F.split(text, DATE, -1), 1, F.size(found)), lambda d, before: F.struct(d.alias("date"), before.alias("before")))
-    part = lambda d, i: F.lpad(F.regexp_extract(d, DATE, i), 2 if i > 1 else 4, "0")
-    day = lambda d: F.when(part(d, 1) > "0000", F.concat_ws("-", part(d, 1), part(d, 2), part(d, 3)).try_cast("date"))
-    dated = F.transform(each, lambda x: F.struct(day(x["date"]).alias("day"), x["date"].alias("date"), x["before"].alias("before")))
+    # years, months and days of all dates at once: a pattern a date would be met anew for each part of each date
+    year, month, day, found = (F.regexp_extract_all(text, F.lit(DATE), F.lit(i)) for i in (1, 2, 3, 0))
+    each = F.arrays_zip(year.alias("y"), month.alias("m"), day.alias("d"), found.alias("date"), F.split(text, DATE, -1).alias("before"))
+    dated = F.transform(F.filter(each, lambda x: x["date"].isNotNull()), lambda x: F.struct(F.when(x["y"] > "0000", F.concat_ws("-", x["y"], x["m"], x["d"]).try_cast("date")).alias("day"), x["date"].alias("date"), x["before"].alias("before")))
     none = F.array().cast("array<struct<days:int,first:date,last:date>>")
     state = lambda last, since, out: F.struct(last.alias("last"), since.alias("since"), out.alias("out"))
     no_day, no_text = F.lit(None).cast("date"), F.lit("")
 
     def step(s: Column, x: Column) -> Column:
         since = F.concat(s["since"], x["before"])
-        joined = (F.length(since) <= REACH) & since.rlike(JOINS) & ~since.rlike(CLOSES) & (x["day"] > s["last"])
+        joined = F.coalesce(x["day"] > s["last"], F.lit(False)) & (F.length(since) <= REACH) & since.rlike(JOINS) & ~since.rlike(CLOSES)
         period = F.struct(F.datediff(x["day"], s["last"]).alias("days"), s["last"].alias("first"), x["day"].alias("last"))
         kept_text = F.when(s["last"].isNull(), no_text).otherwise(F.substr(F.concat(since, x["date"]), F.lit(1), F.lit(REACH + 1)))  # beyond the reach nothing joins
         return F.when(x["day"].isNull(), state(s["last"], kept_text, s["out"])).when(joined, state(no_day, no_text, F.concat(s["out"], F.array(period)))).otherwise(state(x["day"], no_text, s["out"]))

@@ -50,7 +50,7 @@ def order_periods(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "cast(o_orderdate as date) o", "o_orderstatus"), "l_orderkey")
     lines = lines.selectExpr("l_orderkey", "l_linenumber", "l_returnflag f", "o_orderstatus s", "o", "cast(l_shipdate as date) d", "cast(l_quantity as int) q")
     text = f"concat('Benyújtás: ', date_format(o, 'yyyy. MM. dd'), {_by_flag('f', BETWEEN)}, date_format(d, 'yyyy-MM-dd'), case when s = 'F' then '-tól ' else ' / ' end, date_format(date_add(o, q), 'yyyy.M.d'), {_by_flag('f', THIRD)}, date_format(date_add(d, 30), 'yyyy. M. d'), '.')"
-    found = lines.withColumn("p", periods(F.expr(text)))
+    found = lines.withColumn("t", F.expr(text)).withColumn("p", periods(F.col("t")))  # a text is put together once
     return found.selectExpr("l_orderkey", "l_linenumber", "cast(size(p) as bigint) periods", "cast(array_min(p.days) as bigint) shortest", "aggregate(p.days, 0L, (a, x) -> a + x) total_days")
 
 

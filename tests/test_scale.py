@@ -69,3 +69,7 @@ def test_pages_are_normalised_once(spark):
 def test_texts_are_read_once(spark, name):
     """Terms are counted into a table; the query's plan doesn't go back to the texts for each use of them."""
     assert "regexp_extract_all" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_text_of_dates_is_put_together_once(spark):
+    assert _plan(QUERIES["order_periods"](spark, "/root/testdata/sf0.001")).count("date_format") == 4
