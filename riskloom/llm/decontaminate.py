@@ -3,7 +3,7 @@
 Passages are made of blocks of BLOCK words. Passage frequencies are counted over all
 documents for the words of a block of items (a word of no item can't bring a passage nearer to one);
 the latent space comes from a randomised SVD (range finder with one power step) of TF-IDF
-passages, summed over tasks, fitted on all documents plus the benchmark. Every
+blocks, fitted on all documents plus the benchmark by how much each two words meet in a block. Every
 passage of every document, two and four blocks wide, is projected and compared by cosine with every
 item of a block of items; a longer item is searched for by its windows of four blocks, since no passage
 holds enough of it. Candidates are then judged on their words: a longest common subsequence
@@ -33,6 +33,8 @@ COVER, ANSWER = 0.6, 0.5
 FIT_DOCS, ITEMS = 2000, 1000
 #: Terms a row of a task's sum holds.
 ROWS = 512
+#: Leading bits of a word's hash that rule out most words of no item.
+PREFIX = 18
 #: Words of a window of a long item, and of the longest item searched for whole: COVER of it in the widest passage still exceeds CONTAINED.
 WINDOW, WHOLE = 4 * BLOCK, 5 * BLOCK
 U = np.uint64
@@ -55,10 +57,14 @@ def blocks(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def term_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The place of a word hash in the sorted vocabulary, or -1."""
-    if not len(vocabulary):
-        return np.full(len(h), -1)
-    place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[place] == h, place, -1)
+    out = np.full(len(h), -1)
+    if len(vocabulary):
+        may = np.zeros(1 << PREFIX, bool)
+        may[vocabulary >> U(64 - PREFIX)] = True
+        at = np.flatnonzero(may[h >> U(64 - PREFIX)])
+        place = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
+        out[at] = np.where(vocabulary[place] == h[at], place, -1)
+    return out
 
 
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -74,8 +80,9 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
                 which = np.zeros(len(h), np.int64)
                 which[start] = 1
                 idx = term_ids(h, vocabulary)
-                key = np.unique(((np.cumsum(which) // 4) * size + idx)[idx >= 0])
-                total[:size] += np.bincount(key % max(1, size), minlength=size)
+                known = np.flatnonzero(idx >= 0)
+                key = np.sort((np.cumsum(which) // 4)[known] * size + idx[known])
+                total[:size] += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] % max(1, size), minlength=size)
                 total[size] += len(start) // 4 + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], names=["term", "many"])
 
@@ -85,16 +92,18 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     return out[:-1], int(out[-1])
 
 
-def vectors(idx: np.ndarray, row: np.ndarray, rows: int, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projected TF-IDF sums of each block, with the blocks' first tokens and rows."""
+def vectors(idx: np.ndarray, row: np.ndarray, rows: int, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Projected TF-IDF sums of the blocks that hold a known word, these blocks, and all blocks' first tokens and rows."""
     start, brow = blocks(row, rows)
-    out = np.zeros((len(start), weighted.shape[1]), np.float32)
     at = np.flatnonzero(idx >= 0)
-    if len(at):
-        of = np.searchsorted(start, at, "right") - 1
-        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out[of[edge]] = np.add.reduceat(weighted[idx[at]], edge, axis=0)
-    return out, start, brow
+    of = np.searchsorted(start, at, "right") - 1
+    edge = np.flatnonzero(np.diff(of, prepend=-1))
+    many = np.diff(edge, append=len(of))
+    out = weighted[idx[at[edge]]]
+    for k in range(1, int(many.max(initial=0))):
+        more = np.flatnonzero(many > k)
+        out[more] += weighted[idx[at[edge[more] + k]]]
+    return out, of[edge], start, brow
 
 
 def known_terms(data: np.ndarray, at: np.ndarray, rows: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +116,7 @@ def known_terms(data: np.ndarray, at: np.ndarray, rows: int, vocabulary: np.ndar
 
 
 def known_blocks(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(block, term): the known words of all documents, a row a piece of texts; rare words, so little is written."""
+    """(block, term): the known words of all documents, a row a piece of texts."""
 
     def run(batches):
         for batch in batches:
@@ -119,6 +128,33 @@ def known_blocks(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(lean(run), "block array<int>, term array<int>")
 
 
+def together(of: np.ndarray, idx: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, g), each i and j once: g adds up 1 / |block|**2 over the pairs of words i and j in a block; a word meets itself too."""
+    size = len(idf)
+    block = np.cumsum(np.diff(of, prepend=-1) != 0) - 1
+    weight = 1 / np.bincount(block, idf[idx].astype(float) ** 2).clip(1e-6)
+    keys, g = [idx.astype(np.int64) * (size + 1)], [weight[block]]
+    for d in range(1, BLOCK):
+        x = np.flatnonzero(block[d:] == block[:-d])
+        i, j = idx[x].astype(np.int64), idx[x + d].astype(np.int64)
+        keys += [i * size + j, j * size + i]
+        g += [weight[block[x]]] * 2
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // max(1, size), key % max(1, size), np.bincount(at, np.concatenate(g), minlength=len(key))
+
+
+def pairs_met(known: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(i, j, g) as `together` gives them, over all rows of `known_blocks`."""
+
+    def run(batches):
+        for batch in batches:
+            for of, idx in zip(batch.column("block"), batch.column("term")):
+                i, j, g = together(of.values.to_numpy(), idx.values.to_numpy(), idf)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g)], names=["i", "j", "g"])
+
+    return known.mapInArrow(lean(run), "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
 def _added(group):
     import pandas as pd
 
@@ -128,22 +164,20 @@ def _added(group):
 def latent(known: DataFrame, weight: float, items: list[str], vocabulary: np.ndarray, idf: np.ndarray, seed: int = 11) -> np.ndarray:
     """Randomised SVD: orthonormal basis (terms x RANK) of the strongest right directions.
 
-    known: all documents' words as `known_blocks` gives them, each counting `weight`."""
+    known: all documents' words as `known_blocks` gives them, each counting `weight`. They are read once:
+    both steps multiply by the sums over pairs of words that meet in a block."""
+    met = saved(pairs_met(known, idf), "latent-pairs")
     size = len(idf)
     width = min(size, RANK + EXTRA)
     base = np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
 
-    def product(of: np.ndarray, idx: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
-        """Adds A'(A omega) of known words to out, blocks as rows of unit length."""
-        if not len(idx):
-            return
-        new = np.concatenate([[True], of[1:] != of[:-1]])
-        of = np.cumsum(new) - 1
-        y = np.add.reduceat(weighted[idx], np.flatnonzero(new), axis=0)
-        y = y / np.bincount(of, idf[idx] ** 2)[:, None].clip(1e-6).astype(np.float32)
-        order = np.argsort(idx, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(idx[order]) > 0]))
-        out[idx[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0) * idf[idx[order][edge], None]
+    def product(i: np.ndarray, j: np.ndarray, g: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
+        """Adds A'(A omega) of word pairs to out, blocks as rows of unit length."""
+        order = np.argsort(i, kind="stable")
+        i, j, g = i[order], j[order], (g * idf[i])[order].astype(np.float32)
+        edge = np.flatnonzero(np.diff(i, prepend=-1))
+        if len(edge):
+            out[i[edge]] += np.add.reduceat(g[:, None] * weighted[j], edge, axis=0)
 
     for _ in range(2):
         weighted = base * idf[:, None]
@@ -151,16 +185,15 @@ def latent(known: DataFrame, weight: float, items: list[str], vocabulary: np.nda
         def run(batches):
             total = np.zeros((size, width))
             for batch in batches:
-                for of, idx in zip(batch.column("block"), batch.column("term")):
-                    product(of.values.to_numpy(), idx.values.to_numpy(), weighted, total)
+                product(*(batch.column(k).to_numpy() for k in ("i", "j", "g")), weighted, total)
             for start in range(0, size, ROWS):
                 yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int32()), "z": [total[start : start + ROWS].tobytes()]})
 
         total = np.zeros((size, width))
         for lo, hi, data, at in chunks(pa.array(items, pa.string()), 1 << 19):
-            product(*known_terms(data, at, hi - lo, vocabulary), weighted, total)
+            product(*together(*known_terms(data, at, hi - lo, vocabulary), idf), weighted, total)
         total *= 20.0
-        for r in known.mapInArrow(lean(run), "start int, z binary").groupBy("start").applyInPandas(_added, "start int, z binary").collect():  # a bounded matrix
+        for r in met.mapInArrow(lean(run), "start int, z binary").groupBy("start").applyInPandas(_added, "start int, z binary").collect():  # a bounded matrix
             total[r["start"] : r["start"] + ROWS] += weight * np.frombuffer(r["z"]).reshape(-1, width)
         base = np.linalg.qr(total + 1e-6 * base)[0].astype(np.float32)
     return np.ascontiguousarray(base[:, :RANK])
@@ -235,27 +268,37 @@ class Search:
 
     def candidates(self, h: np.ndarray, row: np.ndarray, rows: int) -> set[tuple[int, int, int, int]]:
         """(row, item, first token, end token) of passages close to an item."""
-        b, start, brow = vectors(term_ids(h, self.vocabulary), row, rows, self.weighted)
+        b, held, start, brow = vectors(term_ids(h, self.vocabulary), row, rows, self.weighted)
         n = len(start)
-        if not n or not self.items:
+        if not len(held) or not self.items:
             return set()
         end = np.append(start[1:], len(h))
-        two = b.copy()
-        joined = np.flatnonzero(brow[1:] == brow[:-1])
-        two[joined] += b[joined + 1]
-        four = two.copy()
-        far = np.flatnonzero(brow[2:] == brow[:-2])
-        four[far] += two[far + 2]
         last = np.searchsorted(brow, brow, "right") - 1
+        before = np.searchsorted(held, np.arange(n + 1))  # blocks with a known word before a block
+        first, until = np.tile(np.arange(n), 2), np.concatenate([np.minimum(np.arange(n) + wide - 1, last) for wide in (2, 4)])
+        a, many = before[first], before[until + 1] - before[first]
+        # passages that hold the same blocks with known words are alike: each such run of blocks is compared once
+        of = np.flatnonzero(many)
+        order = of[np.argsort(a[of] * 5 + many[of], kind="stable")]
+        edge = np.flatnonzero(np.diff(a[order] * 5 + many[order], prepend=-1))
+        size = np.diff(edge, append=len(order))
+        a, many = a[order[edge]], many[order[edge]]
+        scores = b @ self.q
         out = set()
-        for wide, v in ((2, two), (4, four)):
+        for lo in range(0, len(edge), 2048):
+            at, k = a[lo : lo + 2048], many[lo : lo + 2048]
+            v, dot = b[at], scores[at]
+            for j in range(1, 4):
+                more = np.flatnonzero(k > j)
+                v[more] += b[at[more] + j]
+                dot[more] += scores[at[more] + j]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             able = np.flatnonzero(norm >= self.contained * self.size.min())  # no dot product exceeds the norm
-            for lo in range(0, len(able), 2048):
-                part = able[lo : lo + 2048]
-                w, i = np.nonzero(v[part] @ self.q >= np.maximum(self.cosine * norm[part, None], self.contained * self.size))
-                w = part[w]
-                out.update(zip(brow[w].tolist(), self.of[i].tolist(), start[w].tolist(), end[np.minimum(w + wide - 1, last[w])].tolist()))
+            w, i = np.nonzero(dot[able] >= np.maximum(self.cosine * norm[able, None], self.contained * self.size))
+            w = able[w] + lo
+            i = np.repeat(self.of[i], size[w])
+            w = order[np.repeat(edge[w] - np.cumsum(size[w]) + size[w], size[w]) + np.arange(len(i))]
+            out.update(zip(brow[first[w]].tolist(), i.tolist(), start[first[w]].tolist(), end[until[w]].tolist()))
         return out
 
     def leaks(self, data: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, float, int]]:
@@ -305,7 +348,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
         keep = rare | np.isin(vocabulary, np.array([w for i in items if rare[term_ids(i.own, vocabulary)].sum() < 3 for w in i.words], U))
         vocabulary, df = vocabulary[keep], df[keep]
         idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-        out.append(Search(items, vocabulary, idf, latent(saved(known_blocks(docs, vocabulary), "latent-terms"), min(1.0, FIT_DOCS / total), [text for _, text in block], vocabulary, idf)))
+        out.append(Search(items, vocabulary, idf, latent(known_blocks(docs, vocabulary), min(1.0, FIT_DOCS / total), [text for _, text in block], vocabulary, idf)))
     return out
 
 

@@ -434,3 +434,18 @@ def test_the_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
     assert np.abs(np.abs(got[:, :8]) - np.abs(want[:, :8])).max() < 5e-3
     searches = decontaminate.prepared(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     assert [len(s.items) for s in searches] == [3]
+
+
+def test_the_fit_of_the_latent_space_reads_the_words_once(spark, monkeypatch):
+    """Both steps go over the words' pairs, each pair once, not over all blocks again."""
+    made = []
+    monkeypatch.setattr(decontaminate, "saved", lambda df, name, own=decontaminate.saved: made.append((name, own(df, name))) or made[-1][1])
+    texts = ["red blue red", "blue green", None, ""] * 50
+    h = np.unique(np.array(decontaminate.Item(0, "red blue green", None).words, np.uint64))
+    known = decontaminate.known_blocks(decontaminate.text_or_empty(frame(spark, list(enumerate(texts))).repartition(3)), h)
+    decontaminate.latent(known, 1.0, ["red green"], h, np.ones(3, np.float32))
+    (name, met), = made
+    red, blue, green = (int(np.searchsorted(h, x)) for x in decontaminate.Item(0, "red blue green", None).words)
+    assert name == "latent-pairs"
+    want = {(red, red): 50 * 4 / 3, (red, blue): 50 * 2 / 3, (blue, red): 50 * 2 / 3, (blue, blue): 50 / 3 + 25, (blue, green): 25, (green, blue): 25, (green, green): 25}
+    assert {(r["i"], r["j"]): round(r["g"], 6) for r in met.collect()} == {k: round(v, 6) for k, v in want.items()}
