@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # Repeats and folds, the seed, C values tried, inner folds, folds of the calibration.
 REPEATS, FOLDS, SEED, GRID, INNER, CALIBRATION = 5, 5, 42, (0.01, 0.1, 1.0, 10.0, 100.0), 3, 5
 MOST = 2000
+#: Slices within which rows of a stratum are ranked; rows a part of the forest's table has, and its parts at most (each sends sums of all trees).
+SLICES, PART_ROWS, PARTS = 256, 8192, 24
 
 
 def folded(rows: DataFrame, repeats: int = REPEATS, k: int = FOLDS, series: str | None = None, strata: str = "y") -> DataFrame:
@@ -30,8 +32,14 @@ def folded(rows: DataFrame, repeats: int = REPEATS, k: int = FOLDS, series: str
     order = lambda key: F.md5(F.concat_ws(":", F.lit(SEED), "repeat", key))
     every = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     if series is None:
-        place = F.row_number().over(Window.partitionBy("repeat", strata).orderBy(order(F.col("id").cast("string")), "id")) - 1
-        return every.withColumn("fold", F.pmod(place, F.lit(k)))
+        # ranks within slices of the order plus the rows of earlier slices, so that no task ranks a whole stratum
+        every = every.withColumn("_order", order(F.col("id").cast("string"))).withColumn("_slice", F.coalesce(F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"), F.lit(-1)))
+        held = every.groupBy("repeat", strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))  # SLICES rows a stratum and repeat
+        gone = F.coalesce(F.sum("_n").over(Window.partitionBy("repeat", strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = held.select(F.col("repeat").alias("_repeat"), F.col(strata).alias("_strata"), F.col("_slice").alias("_of"), gone.alias("_gone"))
+        rank = F.row_number().over(Window.partitionBy("repeat", strata, "_slice").orderBy("_order", "id")) - 1
+        every = every.withColumn("_rank", rank).join(F.broadcast(held), (F.col("repeat") == F.col("_repeat")) & F.col(strata).eqNullSafe(F.col("_strata")) & (F.col("_slice") == F.col("_of")))
+        return every.select(*rows.columns, "repeat", F.pmod((F.col("_gone") + F.col("_rank")).cast("int"), F.lit(k)).alias("fold"))
     sizes = every.groupBy("repeat", series).agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("repeat").orderBy(F.desc("n"), order(F.col(series).cast("string")))) - 1
     turn = F.pmod(place, F.lit(k))
@@ -347,10 +355,14 @@ def factor_probes(embeddings: DataFrame) -> DataFrame:
 
 
 def cross_validated_forest(embeddings: DataFrame, trees: int = 500, k: int = FOLDS) -> DataFrame:
-    """Spark's forest, one fit a fold over all rows, classes weighed alike."""
+    """Spark's forest, one fit a fold over all rows, classes weighed alike.
+
+    Rows are dealt by id and sorted, so that a fit uses all cores and draws the same rows on any cluster."""
     rows = folded(vectors(embeddings), 1, k)
     n = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(F.broadcast(n), "y").select("id", "fold", "y", array_to_vector("x").alias("v"), (1.0 / F.col("n")).alias("w")).cache()  # a row for each class
+    parts = max(1, min(PARTS, embeddings.count() // PART_ROWS))
+    rows = rows.join(F.broadcast(n), "y").select("id", "fold", "y", array_to_vector("x").alias("v"), (1.0 / F.col("n")).alias("w"))  # n: a row for each class
+    rows = rows.repartition(parts, "id").sortWithinPartitions("id", "y", "v").cache()
     out = None
     for fold in range(k):
         model = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=trees, seed=SEED).fit(rows.where(F.col("fold") != fold))

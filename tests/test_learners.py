@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import learners as L
@@ -64,3 +65,32 @@ def test_repeated_folds_test_every_row_once(spark):
     assert len(few) == 120
     p = L.probes(rows, {"a": "y", "one": "1"}, repeats=1, k=3).toPandas()
     assert set(p.target) == {"a"} and p[p.kind == "learner"].macro_f1.mean() > p[p.kind == "majority"].macro_f1.mean() + 0.3
+
+
+def test_a_forest_is_fitted_on_rows_dealt_over_parts(spark, monkeypatch):
+    """Not on one part a class, as ranking by class leaves them; the folds are those of ranks over each whole class."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    class Forest:
+        def __init__(self, **how):
+            assert how["numTrees"] == 500
+
+        def fit(self, rows):
+            seen.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+            raise Stop
+
+    monkeypatch.setattr(L, "PART_ROWS", 40, raising=False)
+    monkeypatch.setattr(L, "RandomForestClassifier", Forest)
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7.0, F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"))
+    with pytest.raises(Stop):
+        L.cross_validated_forest(rows)
+    assert len(seen) >= 8 and sum(seen) == 320
+    whole = L.vectors(rows.unionByName(rows.where("vec_id < 9")).withColumn("vec_id", F.when(F.col("vec_id") > 3, F.col("vec_id"))))
+    place = F.row_number().over(Window.partitionBy("repeat", "y").orderBy(F.md5(F.concat_ws(":", F.lit(L.SEED), "repeat", F.col("id").cast("string"))), "id")) - 1
+    want = whole.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("fold", F.pmod(place, F.lit(5)))
+    ids = lambda d: sorted(map(str, d.select("repeat", "fold", "id").collect()))
+    got = L.folded(whole, 2, 5)
+    assert got.columns == want.columns and ids(got) == ids(want)
