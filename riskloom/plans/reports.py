@@ -8,7 +8,7 @@ from riskloom.functions.dialect import Duck, Spark
 from riskloom.operators.statistics import mcnemar_column, t_column
 from riskloom.plans.agreement import cells, consolidated, sources, tallies
 from riskloom.plans.models import CLASS, fold_scores, folds, predictions
-from riskloom.plans.scoring import FACTORS, points, ranked, totals
+from riskloom.plans.scoring import FACTORS, banded, documents, factor_rows, points, ranked, totals
 from riskloom.sources.tables import views
 
 CLASSES = ("low", "medium", "high")
@@ -292,7 +292,26 @@ def _over(text: str, finish):
     return run
 
 
+def observed_points(D) -> str:
+    """The query of that name with a document's ten bands in one row: documents are made once and their cells never shuffled.
+
+    A band is null where the factor has none of its own (loan and TOP rule, missing value). Rows of one doc_id stay side by side, as the joins would give them; a null doc_id meets nothing."""
+    own = {"fin_form": "case fin_form when 'grant' then 3 when 'conditional_grant' then 2 else 1 end", "tam_osszeg": f"case when tam_osszeg is not null then {banded('tam_osszeg', 'tam_osszeg')} end", "konzorcium": "3 * konzorcium",
+        "bead_napok": banded("bead_napok", "bead_napok", 0), "max_tam_int": f"case when fin_form <> 'loan' then {banded('max_tam_int', 'max_tam_int')} end", "eloleg": banded("eloleg", "eloleg"), "idotartam": banded("idotartam", "idotartam", 3),
+        "tam_tevekenyseg": "tam_tevekenyseg", "egysz_elszam": "3 - 3 * egysz_elszam", "biztositek": "3 - 3 * biztositek"}
+    return f"""{documents(D)}, bands_ as (select doc_id, fin_form, programme, array({", ".join(f"cast({own[f]} as bigint)" for f in FACTORS)}) band from docs),
+lone as (select doc_id, max(fin_form) fin_form, max(programme) programme, collect_list(band) held from bands_ group by doc_id),
+asked as (select source, doc_id, factor, fin_form, programme, case when doc_id is not null and (source = 'regex' or doc_id % 17 <> 0 and exists(held, b -> exists(b, x -> x is not null))) then doc_id end seen,
+    case when doc_id is null or source = 'llm' and doc_id % 17 = 0 then cast(array() as array<bigint>) when source = 'regex' then transform(held, b -> case when (doc_id + ord) % 7 <> 0 then b[ord] end)
+      else transform(filter(held, b -> b[ord] is not null), b -> case when (doc_id + ord) % 9 = 0 then null when (doc_id + 3 * ord) % 5 = 0 then (b[ord] + 1) % 4 else b[ord] end) end found
+  from lone cross join (values {factor_rows()}) as f(ord, factor) cross join (values ('regex'), ('llm')) as s(source)),
+o as (select *, explode_outer(found) given from asked)
+select source, doc_id, factor, case when seen is null then null when factor = 'max_tam_int' and fin_form = 'loan' then 0 when given is null and factor = 'tam_osszeg' and programme = 'BUILDING' then 1 when given is null and factor = 'tam_osszeg' and programme = 'MACHINERY' then 2 else given end points,
+case when seen is null then null when factor = 'max_tam_int' and fin_form = 'loan' then 'loan_rule' when given is null and factor = 'tam_osszeg' and programme in ('BUILDING', 'MACHINERY') then 'top_rule' when given is not null then 'given' end origin, case when seen is null then 'document_missing_from_run' end note from o"""
+
+
 QUERIES = {
+    "observed_points": _over(f"with {observed_points(Spark)}", lambda df: df),
     "mcnemar_exact": _over(f"with {discordant(Spark)} select * from bc", lambda df: df.select("model", "rep", "b", "c", F.round(mcnemar_column(F.col("b"), F.col("c")), 6).alias("p"))),
     "fold_t": _over(f"with {fold_differences(Spark)} select * from td", lambda df: df.select("model", "rep", "df", F.round("t", 6).alias("t"), F.round(t_column(F.col("t"), F.col("df")), 6).alias("p"))),
 }

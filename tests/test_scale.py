@@ -73,3 +73,21 @@ def test_texts_are_read_once(spark, name):
 
 def test_a_text_of_dates_is_put_together_once(spark):
     assert _plan(QUERIES["order_periods"](spark, "/root/testdata/sf0.001")).count("date_format") == 4
+
+
+def test_observed_points_makes_documents_once(spark, tmp_path):
+    """Lineitem is read once and no cell is shuffled; rows as by the SQL, also for repeated, negative and null keys."""
+    for name in ("region", "nation", "part", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet").where("o_orderkey < 400").localCheckpoint()
+    odd = orders.where("o_orderkey < 60").selectExpr("* except (o_orderkey, o_orderstatus)", "case when o_orderkey < 40 then o_orderkey when o_orderkey < 55 then -o_orderkey end o_orderkey", "'F' o_orderstatus").select(orders.columns)
+    orders.unionByName(odd).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    for name in ("region", "nation", "part", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").createOrReplaceTempView(name)
+    want = spark.sql(reports.SQL["observed_points"](Spark))
+    got = spark.sql(f"with {reports.observed_points(Spark)}")
+    assert got.schema.simpleString() == want.schema.simpleString()
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(got) == rows(want)
+    plan = QUERIES["observed_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey#") == 1
