@@ -449,3 +449,17 @@ def test_the_fit_of_the_latent_space_reads_the_words_once(spark, monkeypatch):
     assert name == "latent-pairs"
     want = {(red, red): 50 * 4 / 3, (red, blue): 50 * 2 / 3, (blue, red): 50 * 2 / 3, (blue, blue): 50 / 3 + 25, (blue, green): 25, (green, blue): 25, (green, green): 25}
     assert {(r["i"], r["j"]): round(r["g"], 6) for r in met.collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_near_dedup_takes_the_links_of_operator_4(spark, monkeypatch):
+    """Without any band met, equal and close fingerprints still bring near copies together; the exact check holds them to the similarity."""
+    own = neardedup.meetings
+    monkeypatch.setattr(neardedup, "meetings", lambda nodes: own(nodes).limit(0))
+    draw = np.random.default_rng(8)
+    text = list(draw.choice([f"w{i}" for i in range(5000)], 3000))
+    near = [" ".join(text[:-1] + [x]) for x in ("one", "two")]
+    other = [" ".join(["same nine words stand here again and again now"] * 200 + list(draw.choice([f"v{i}" for i in range(5000)], 400))) for _ in range(2)]
+    prints = [simhash.fingerprint(t.encode()) for t in near + other]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.DISTANCE
+    rows = [(0, near[0]), (1, near[1]), (2, other[0]), (3, other[1]), (4, None), (5, near[0])]
+    assert sorted(r["doc_id"] for r in neardedup.dedup(frame(spark, rows)).collect()) == [0, 2, 3, 4]
