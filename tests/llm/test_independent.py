@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskloom.llm import digest, linededup, quality, secrets, simhash, toxicity
+from riskloom.llm import digest, linededup, quality, queries, secrets, simhash, toxicity
 from tests.llm.test_operators import frame
 
 DIR = "/root/testdata/sf0.001"
@@ -153,6 +153,31 @@ def common_subsequence(a, b):
     return row[-1]
 
 
+def test_repeated_passages_around_400_bytes(spark, tmp_path):
+    """Passages of 57 words that two documents share: from 400 bytes on both lose them, below both keep them."""
+    r = random.Random(9)
+    word = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    texts, gone = {}, {}
+    for size in (399, 400, 401, 456):
+        words = [word(6) for _ in range(57)]
+        words[-1] = word(6 + size - 398)
+        passage = " ".join(words)
+        assert len(passage) == size
+        for side in "AB":  # what stands beside a passage differs, so it ends where it ends
+            i = len(texts)
+            texts[i] = side + passage + side + " ".join(word(6) for _ in range(r.randint(0, 300)))
+            gone[i] = size if size >= 400 else 0
+    for _ in range(4):
+        i = len(texts)
+        texts[i], gone[i] = " ".join(word(6) for _ in range(300)), 0
+    frame(spark, texts.items()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.QUERIES["op9_repeats"](spark, str(tmp_path)).collect()}
+    assert {i: x["n_removed"] for i, x in got.items()} == gone
+    for i, t in texts.items():
+        kept = t[:1] + t[1 + gone[i] :]
+        assert (got[i]["n_bytes"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), int(gone[i] > 0), hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage on what its predecessor kept, against plain Python or DuckDB; then the whole run."""
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
