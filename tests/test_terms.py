@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,3 +120,22 @@ def test_no_more_slopes_than_cores(spark):
     finally:
         DataFrame.mapInArrow = real
     assert max(parts) <= spark.sparkContext.defaultParallelism and w[0, 0] > 1 > -1 > w[0, 1]
+
+
+def test_a_fit_takes_few_steps(spark):
+    """Common terms that stand in most rows don't make for many small steps; the minimum is that of an exact fit."""
+    draw = np.random.default_rng(7)
+    share = 1 / np.arange(1, 61)
+    lean = {c: share * draw.uniform(0.7, 1.4, 60) for c in "abc"}
+    counts = [np.bincount(draw.choice(60, 40, p=lean[c] / lean[c].sum()), minlength=60) for c in "abc" * 700]
+    rows = [("abc"[i % 3], [9], [float(np.linalg.norm(x))], np.flatnonzero(x).tolist(), x[x > 0].astype(float).tolist()) for i, x in enumerate(counts)]
+    rows = spark.createDataFrame(rows, "label string, own array<int>, norms array<double>, at array<int>, tf array<float>")
+    asked = []
+    real = SparkContext.broadcast
+    SparkContext.broadcast = lambda self, x: asked.append(1) or real(self, x)
+    try:
+        (w,) = fitted(rows, [(0, 0, {c: (k, 1.0) for k, c in enumerate("abc")}, np.ones(60))], [2100.0])
+    finally:
+        SparkContext.broadcast = real
+    x = np.array([c / np.linalg.norm(c) for c in counts])
+    assert len(asked) <= 25 and np.abs(w[:, :-1] - newton(x, np.arange(2100) % 3)).max() < 0.02
